@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -44,6 +45,9 @@ ADDRESS = set("you your youre yourself u ur tu toi vous du dich dir ihr eres ust
 # Marks that open a quotation, and those that close it.
 QUOTES = {'"': '"', "“": "”", "«": "»", "„": "“", "‹": "›"}
 
+# Odd multipliers of a text's minima.
+MULTIPLIERS = (2654435761, 2246822519, 3266489917, 668265263, 374761393, 2869860233, 1181783497, 1500450271)
+
 _WORD = re.compile(r"[^\W_]+")
 _QUOTED = re.compile("|".join(f"{re.escape(a)}[^{re.escape(a + b)}\\n]{{1,300}}{re.escape(b)}" for a, b in QUOTES.items()))
 
@@ -195,6 +199,25 @@ def cover(hits: list[set[str]], toxic: Counter, clean: Counter, clean_size: int)
     return chosen
 
 
+def copies(signs: list[list[int]]) -> list[int]:
+    """A group number for each text: texts that share two neighbouring minima are copies."""
+    top = list(range(len(signs)))
+
+    def root(i: int) -> int:
+        while top[i] != i:
+            top[i] = top[top[i]]
+            i = top[i]
+        return i
+
+    seen: dict[tuple, int] = {}
+    for i, own in enumerate(signs):
+        for k in range(0, len(own) - 1, 2):
+            j = seen.setdefault((k, own[k], own[k + 1]), i)
+            a, b = root(i), root(j)
+            top[max(a, b)] = min(a, b)
+    return [root(i) for i in range(len(signs))]
+
+
 def sample_rows(docs: DataFrame, labels: DataFrame, toxic: int, clean: int) -> DataFrame:
     """Texts and labels of about ``toxic`` and ``clean`` rows, chosen by a hash of doc_id."""
     labels = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic")).filter("_id IS NOT NULL AND toxic IN (0, 1)").distinct()
@@ -234,10 +257,21 @@ def learn(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean:
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [sorted({s for w in set(_WORD.findall(t.lower())) if len(w) >= 4 for s in stems(w)} & names) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.string()))], ["terms"])
-
-    hits = [set(r["terms"]) for r in sample.filter("toxic = 1").mapInArrow(present, "terms array<string>").collect()] if n1 else []
+            own, signs = [], []
+            for t in batch.column("text").to_pylist():
+                words = {w for w in set(_WORD.findall(t.lower())) if len(w) >= 4}
+                own.append(sorted({s for w in words for s in stems(w)} & names))
+                hashes = [zlib.crc32(w.encode()) for w in words]
+                signs.append([min((h * a & 0xFFFFFFFF for h in hashes), default=-1) for a in MULTIPLIERS])
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.string())), pa.array(signs, pa.list_(pa.int64()))], ["terms", "signs"])
+
+    found = sample.filter("toxic = 1").mapInArrow(present, "terms array<string>, signs array<long>").collect() if n1 else []
+    together: dict[int, set[str]] = {}
+    for r, g in zip(found, copies([r["signs"] for r in found]), strict=True):
+        together.setdefault(g, set()).update(r["terms"])
+    # Copies count once.
+    n1, hits = len(together), list(together.values())
+    ones = Counter(t for own in hits for t in own)
     terms = cover(hits, ones, zeros, n0)
 
     def odds(a: float, b: float) -> float:
