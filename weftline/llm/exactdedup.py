@@ -21,7 +21,11 @@ from pyspark.sql.utils import AnalysisException
 
 from weftline.llm.common import materialize, work_dir
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State lies in RocksDB; a store for each of many partitions allocates no space ahead.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 #: Repeated digests that are broadcast to find their rows; more are joined by a shuffle.
 BROADCAST_DIGESTS = 500_000
 
@@ -46,9 +50,9 @@ def _located(docs: DataFrame) -> DataFrame:
 def observe(log: DataFrame, log_path: str, state_path: str) -> DataFrame:
     """Streams the log into keyed state and returns the state: digest, n, best."""
     spark = log.sparkSession
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
     try:
         rows = spark.readStream.schema(log.schema).parquet(log_path)
         best = F.struct((-F.col("n")).alias("shorter"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "file", "row")
@@ -56,7 +60,8 @@ def observe(log: DataFrame, log_path: str, state_path: str) -> DataFrame:
         query = seen.writeStream.format("noop").outputMode("update").option("checkpointLocation", state_path).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     state = spark.read.format("statestore").load(state_path)
     return state.select(F.col("key.digest").alias("digest"), F.col("value.count").alias("n"), F.col("value.min").alias("best"))
 
