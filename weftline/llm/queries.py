@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe, exactdedup, htmltext, langid, licences, linededup, neardup, packing, toxicity
+from weftline.llm import bpe, exactdedup, htmltext, langid, licences, linededup, media, neardup, packing, toxicity
 from weftline.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
+def op4_media_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.measured(media.stored(table(spark, sf_dir, "documents")))
+
+
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = htmltext.extract(table(spark, sf_dir, "pages"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "by_consensus")
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_licence_scan": op2_licence_scan,
     "op3_language_id": op3_language_id,
+    "op4_media_webp": op4_media_webp,
     "op5_html_text": op5_html_text,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_line_dedup": op7_line_dedup,
