@@ -1,19 +1,60 @@
-"""A training-data pipeline over ``documents``: each stage's table is the next one's input."""
+"""A training-data pipeline over ``documents``: each stage's table is the next one's input.
+
+Toxic documents go, then those in which no known language holds a fair share, then lines
+that other documents hold already, then all but one of each class of near duplicates;
+what is left is packed.  Each stage works on every document that its predecessor kept.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from weftline.llm import packing
+from weftline.llm import langid, linededup, neardup, packing, toxicity
 from weftline.llm.common import materialize, table
 
+#: Share of a text's words that its first language holds at least.
+LEAST_SHARE = 0.4
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents whose toxicity is THRESHOLD or more, learned from ``labels``."""
+    scorer = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, scorer, [*docs.columns]).filter(F.col("toxicity") < toxicity.THRESHOLD).select(*docs.columns)
+
+
+def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that have no letter, or whose languages are none that ``lang`` names."""
+    found = langid.predict(docs, langid.learn(docs), [*docs.columns])
+    return found.filter((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_SHARE)).select(*docs.columns)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the lines that a document with a smaller id holds; n_chars follows."""
+    text = F.col("line_dedup.kept_text")
+    columns = {"text": text, "n_chars": F.length(text).cast("long")}
+    return linededup.dedup(docs).select(*(columns[c].alias(c) if c in columns else F.col(f"`{c}`") for c in docs.columns))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates."""
+    return neardup.keep_one(docs)
+
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences."""
     return packing.pack(docs)
 
 
-STAGES = [("packing", pack)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("language_id", drop_unidentified),
+    ("line_dedup", drop_lines),
+    ("near_dedup", drop_near_duplicates),
+    ("packing", pack),
+]
 
+#: Learned scores, sketches and packing cannot be written in SQL.
 ORACLE_SQL = None
 
 
