@@ -56,47 +56,82 @@ class Trie:
     """Terms by letters; a stem is a term that ends in ``*``."""
 
     def __init__(self, terms: list[str]) -> None:
+        self.whole = frozenset(terms)
+        self.stem_lengths = sorted({len(t) - 1 for t in terms if t.endswith("*")}, reverse=True)
+        self._pieces(terms)
         self.next: list[dict[str, int]] = [{}]
         self.term: list[str | None] = [None]
-        self.stem: list[str | None] = [None]
         for t in terms:
+            if t.endswith("*"):  # stems are met by their first letters, without edits
+                continue
             node = 0
-            for c in t.rstrip("*"):
+            for c in t:
                 at = self.next[node].get(c)
                 if at is None:
                     at = self.next[node][c] = len(self.next)
                     self.next.append({})
                     self.term.append(None)
-                    self.stem.append(None)
                 node = at
-            (self.stem if t.endswith("*") else self.term)[node] = t
+            self.term[node] = t
 
     @staticmethod
     def reach(length: int) -> int:
         """Edits that a word of so many letters is forgiven."""
-        return 0 if length < 5 else 1 if length < 9 else 2
+        return 0 if length < 5 else 1 if length < 9 else 2  # never less for a longer word
+
+    def _pieces(self, terms: list[str]) -> None:
+        """Parts of terms, one of which stands unharmed in any word within reach: of ``edits + 1`` parts,
+        the first at the word's start, the last at its end, one between them near its place."""
+        self.heads: set[tuple[str, int]] = set()
+        self.tails: set[tuple[str, int]] = set()
+        self.middles: set[tuple[str, int, int]] = set()
+        for t in terms:
+            k = self.reach(len(t))
+            if t.endswith("*") or not k:
+                continue
+            cuts = [len(t) * i // (k + 1) for i in range(k + 2)]
+            for n in range(len(t) - k, len(t) + k + 1):
+                self.heads.add((t[: cuts[1]], n))
+                self.tails.add((t[cuts[k] :], n))
+                for i in range(1, k):
+                    for shift in range(-k, k + 1):
+                        if cuts[i] + shift >= 0:
+                            self.middles.add((t[cuts[i] : cuts[i + 1]], cuts[i] + shift, n))
+        self.head_lengths = sorted({len(h) for h, _ in self.heads})
+        self.tail_lengths = sorted({len(h) for h, _ in self.tails})
+        self.middle_places = sorted({(len(m), at, n) for m, at, n in self.middles})
+        self.lengths = {n for _, n in self.heads}
+        self.middle_at: dict[int, list[tuple[int, int]]] = {}
+        for size, at, n in self.middle_places:
+            self.middle_at.setdefault(n, []).append((size, at))
+
+    def _may_be_near(self, word: str) -> bool:
+        n = len(word)
+        if n not in self.lengths:
+            return False
+        for k in self.head_lengths:
+            if (word[:k], n) in self.heads:
+                return True
+        for k in self.tail_lengths:
+            if (word[-k:], n) in self.tails:
+                return True
+        return any((word[at : at + size], at, n) in self.middles for size, at in self.middle_at.get(n, ()))
 
     def find(self, word: str) -> tuple[str, int] | None:
-        """The nearest term, and its distance: a stem or the word itself first, else by least edits."""
-        node: int | None = 0
-        stem = None
-        for c in word:
-            node = self.next[node].get(c)
-            if node is None:
-                break
-            stem = self.stem[node] or stem
-        if node is not None and self.term[node]:
-            return self.term[node], 0
-        if stem:
-            return stem, 0
+        """The nearest term, and its distance: the word itself or a stem first, else by least edits."""
+        if word in self.whole:
+            return word, 0
+        for n in self.stem_lengths:
+            if (stem := word[:n] + "*") in self.whole and len(word) > n:
+                return stem, 0
         most = self.reach(len(word))
-        if not most:
+        if not most or not self._may_be_near(word):
             return None
         # The automaton of the word: state i, with the edits spent to have read i of its letters.
         found, least = None, most + 1
-        stack = [(0, list(range(len(word) + 1)), 0)]
+        stack = [(0, list(range(len(word) + 1)))]
         while stack:
-            node, row, depth = stack.pop()
+            node, row = stack.pop()
             t = self.term[node]
             if t and row[-1] < least and row[-1] <= self.reach(len(t)):
                 found, least = t, row[-1]
@@ -105,7 +140,7 @@ class Trie:
                 for i, x in enumerate(word):
                     new.append(min(new[i] + 1, row[i + 1] + 1, row[i] + (x != c)))
                 if min(new) <= min(most, least - 1):
-                    stack.append((child, new, depth + 1))
+                    stack.append((child, new))
         return (found, least) if found else None
 
 
