@@ -31,9 +31,10 @@ def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that a document with a smaller id holds; n_chars follows."""
-    text = F.col("line_dedup.kept_text")
+    found = "line_dedup" + "_" * max(map(len, docs.columns))  # no column of docs
+    text = F.col(f"{found}.kept_text")
     columns = {"text": text, "n_chars": F.length(text).cast("long")}
-    return linededup.dedup(docs).select(*(columns[c].alias(c) if c in columns else F.col(f"`{c}`") for c in docs.columns))
+    return linededup.dedup(docs, result=found).select(*(columns[c].alias(c) if c in columns else F.col(f"`{c}`") for c in docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,10 +32,10 @@ LEAST = 0.02
 BROADCAST_HOSTS = 200_000
 
 # Element names.
-CONTAINERS = frozenset("html body main article section div td center blockquote".split())
+CONTAINERS = frozenset("main article section div td center blockquote".split())
 DROPPED = frozenset("head title script style noscript template nav header footer aside form button select option textarea iframe object svg canvas video audio map dialog menu fieldset label input".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template".split())
-BLOCKS = CONTAINERS | DROPPED | frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd pre table tbody thead tfoot tr th figure figcaption hr address details summary caption".split())
+BLOCKS = CONTAINERS | DROPPED | frozenset("html body p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd pre table tbody thead tfoot tr th figure figcaption hr address details summary caption".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Elements that an opening tag closes if they are open and no closer container is.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}

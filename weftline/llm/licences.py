@@ -95,7 +95,7 @@ def _less(place: int) -> Callable[[Column], Column]:
 
 def _stands(names: list[str]) -> Callable[[Column], Column]:
     """Whether the phrase's words stand from a place on."""
-    return lambda i: F.slice(F.col("_words"), i + 1, len(names)) == F.array(*(F.lit(w) for w in names))
+    return lambda i: F.slice(F.col("__ls_words"), i + 1, len(names)) == F.array(*(F.lit(w) for w in names))
 
 
 def scan(docs: DataFrame, result: str = "licence_scan") -> DataFrame:
@@ -106,33 +106,33 @@ def scan(docs: DataFrame, result: str = "licence_scan") -> DataFrame:
     rare = sorted({places[0][0] for places in index.values()})
     # Only a text that holds some template's rarest word is cut into words.
     listed = F.when(text.rlike(_any_of(rare)), words(text)).otherwise(F.array().cast("array<string>"))
-    rows = docs.withColumn("_words", listed)
+    rows = docs.withColumn("__ls_words", listed)
 
     def places(word: str) -> Column:
-        at = F.transform(F.col("_words"), lambda w, i: F.when(w == word, i))
+        at = F.transform(F.col("__ls_words"), lambda w, i: F.when(w == word, i))
         return F.filter(at, lambda i: i.isNotNull())
 
     lookups = sorted({w for entry in index.values() for w, _ in entry})
-    some = F.size("_words") > 0
+    some = F.size("__ls_words") > 0
     none = F.array().cast("array<int>")
-    rows = rows.withColumn("_at", F.struct(*(F.when(some, places(w)).otherwise(none).alias(f"w{k}") for k, w in enumerate(lookups))))
+    rows = rows.withColumn("__ls_at", F.struct(*(F.when(some, places(w)).otherwise(none).alias(f"w{k}") for k, w in enumerate(lookups))))
     found, fits = {}, {}
     for label, (phrase, whole) in ALL.items():
         names = phrase.split()
         starts = None
         for w, place in index[label]:
-            own = F.transform(F.col(f"_at.w{lookups.index(w)}"), _less(place))
+            own = F.transform(F.col(f"__ls_at.w{lookups.index(w)}"), _less(place))
             starts = own if starts is None else F.array_intersect(starts, own)
         starts = F.filter(starts, lambda i: i >= 0)
         found[label] = F.filter(starts, _stands(names))
-    rows = rows.withColumn("_found", F.struct(*(F.when(some, p).otherwise(none).alias(f"t{k}") for k, p in enumerate(found.values()))))
-    at = {label: F.col(f"_found.t{k}") for k, label in enumerate(found)}
+    rows = rows.withColumn("__ls_found", F.struct(*(F.when(some, p).otherwise(none).alias(f"t{k}") for k, p in enumerate(found.values()))))
+    at = {label: F.col(f"__ls_found.t{k}") for k, label in enumerate(found)}
     for label, (phrase, whole) in ALL.items():
         # How much of the template, by rarity, stands around the phrase where it was first found.
         template, shift = whole.split(), _shift(whole, phrase)
         own = [max(idf[w], 0.1) for w in template]
         first = F.get(at[label], F.lit(0))
-        agree = sum((F.when(F.get(F.col("_words"), first + (j - shift)) == w, v).otherwise(0.0) for j, (w, v) in enumerate(zip(template, own, strict=True))), F.lit(0.0))
+        agree = sum((F.when(F.get(F.col("__ls_words"), first + (j - shift)) == w, v).otherwise(0.0) for j, (w, v) in enumerate(zip(template, own, strict=True))), F.lit(0.0))
         fits[label] = F.when(F.size(at[label]) > 0, agree / sum(own)).otherwise(0.0)
     base = F.flatten(F.array(*(at[label] for label in BASE.values())))
 

@@ -30,16 +30,16 @@ def key(line: Column) -> Column:
 def dedup(docs: DataFrame, least: int = LEAST, result: str = "line_dedup") -> DataFrame:
     """``docs`` and a struct ``result``: n_lines, n_dropped, kept_text."""
     last = F.lit(2**63 - 1)
-    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), last), "_text": F.coalesce(F.col("text").cast("string"), F.lit(""))})
-    keyed = keyed.withColumn("_row", F.xxhash64("_text"))
-    lines = keyed.select("_id", "_row", F.posexplode(F.split("_text", "\n", -1)).alias("_at", "_line")).withColumn("_key", key(F.col("_line")))
-    lines = lines.filter(F.length("_key") >= least).select("_id", "_row", "_at", F.xxhash64("_key").alias("_h1"), F.xxhash64(F.lit(1), "_key").alias("_h2"))
-    repeated = lines.groupBy("_h1", "_h2").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).filter("_first < _last").drop("_last")
-    marks = lines.join(repeated, ["_h1", "_h2"]).filter("_id > _first").groupBy("_id", "_row").agg(F.collect_set("_at").alias("_marks"))
-    whole = keyed.join(marks, ["_id", "_row"], "left").withColumn("_lines", F.split("_text", "\n", -1))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_marks"))
-    text = F.when(F.col("_marks").isNull(), F.col("_text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("_lines"), i)), "\n"))
-    out = F.struct(F.size("_lines").cast("long").alias("n_lines"), F.coalesce(F.size("_marks"), F.lit(0)).cast("long").alias("n_dropped"), text.alias("kept_text"))
+    keyed = docs.withColumns({"__ld_id": F.coalesce(F.col("doc_id").cast("long"), last), "__ld_text": F.coalesce(F.col("text").cast("string"), F.lit(""))})
+    keyed = keyed.withColumn("__ld_row", F.xxhash64("__ld_text"))
+    lines = keyed.select("__ld_id", "__ld_row", F.posexplode(F.split("__ld_text", "\n", -1)).alias("__ld_at", "__ld_line")).withColumn("__ld_key", key(F.col("__ld_line")))
+    lines = lines.filter(F.length("__ld_key") >= least).select("__ld_id", "__ld_row", "__ld_at", F.xxhash64("__ld_key").alias("__ld_h1"), F.xxhash64(F.lit(1), "__ld_key").alias("__ld_h2"))
+    repeated = lines.groupBy("__ld_h1", "__ld_h2").agg(F.min("__ld_id").alias("__ld_first"), F.max("__ld_id").alias("__ld_last")).filter("__ld_first < __ld_last").drop("__ld_last")
+    marks = lines.join(repeated, ["__ld_h1", "__ld_h2"]).filter("__ld_id > __ld_first").groupBy("__ld_id", "__ld_row").agg(F.collect_set("__ld_at").alias("__ld_marks"))
+    whole = keyed.join(marks, ["__ld_id", "__ld_row"], "left").withColumn("__ld_lines", F.split("__ld_text", "\n", -1))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("__ld_lines") - 1), F.col("__ld_marks"))
+    text = F.when(F.col("__ld_marks").isNull(), F.col("__ld_text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("__ld_lines"), i)), "\n"))
+    out = F.struct(F.size("__ld_lines").cast("long").alias("n_lines"), F.coalesce(F.size("__ld_marks"), F.lit(0)).cast("long").alias("n_dropped"), text.alias("kept_text"))
     return whole.select(*(F.col(f"`{c}`") for c in docs.columns), out.alias(result))
 
 
