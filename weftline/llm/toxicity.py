@@ -231,6 +231,17 @@ def cover(hits: list[set[str]], toxic: Counter, clean: Counter, clean_size: int)
             hits[i] = set()
         for other in [x for x, n in gain.items() if n < least]:
             del gain[other]
+    # Terms that stand beside chosen ones, in too many toxic texts to do so by chance.
+    often = max(5, len(hits) // 50)
+    for t in sorted(where, key=lambda x: (-len(where[x]), x.endswith("*"), -len(x), x)):
+        if len(where[t]) < often or len(chosen) >= TERMS:
+            break
+        if t.endswith("*"):  # the longest stem that reaches nearly the same texts
+            t = max((c for c in where if c.endswith("*") and c.startswith(t[:-1]) and len(where[c]) >= 0.97 * len(where[t])), key=lambda c: (len(c), c))
+        bare = t.rstrip("*")
+        told = any(bare.startswith(c[:-1]) if c.endswith("*") else c == t for c in chosen) or (t != bare and any(c.startswith(bare) for c in chosen))
+        if not told and len(where[t]) * max(clean_size, 1) >= 20 * clean[t] * len(hits):
+            chosen.append(t)
     return chosen
 
 
