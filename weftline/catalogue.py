@@ -585,7 +585,7 @@ def milestone_contributions(spark, sf):
 
 @query("""links AS (SELECT event_id, unnest([('T' || user_id % 7 || '.' || user_id % 3), ('T' || user_id % 5)]) AS code, unnest([1.0, 0.4]) AS weight FROM events),
 tech AS (SELECT unnest(['T1', 'T2.0', 'T3.1', 'T4']) AS technology)
-SELECT event_id, technology, max(weight) AS relevance FROM links, tech WHERE starts_with(code, technology) OR starts_with(technology, code) GROUP BY 1, 2""")
+SELECT event_id, technology, CAST(max(weight) AS DOUBLE) AS relevance FROM links, tech WHERE starts_with(code, technology) OR starts_with(technology, code) GROUP BY 1, 2""")
 def milestone_links(spark, sf):
     u = F.col("user_id")
     links = F.array(F.struct(F.concat(F.lit("T"), u % 7, F.lit("."), u % 3).alias("code"), F.lit(1.0).alias("weight")), F.struct(F.concat(F.lit("T"), u % 5).alias("code"), F.lit(0.4).alias("weight")))
@@ -594,7 +594,7 @@ def milestone_links(spark, sf):
 
 
 @query(f"""tech AS (SELECT technology, lower(term) AS term FROM ({values(TECH_TERMS)}) t(technology, term))
-SELECT doc_id, technology, count(DISTINCT term) AS n_terms, round(least(1.0, 0.5 + 0.12 * count(DISTINCT term)), 4) AS confidence FROM documents, tech WHERE contains(lower(coalesce(text, '')), term) GROUP BY 1, 2""")
+SELECT doc_id, technology, count(DISTINCT term) AS n_terms, CAST(round(least(1.0, 0.5 + 0.12 * count(DISTINCT term)), 4) AS DOUBLE) AS confidence FROM documents, tech WHERE contains(lower(coalesce(text, '')), term) GROUP BY 1, 2""")
 def related_docs(spark, sf):
     return emerging.mentioned(documents(spark, sf), spark.createDataFrame(TECH_TERMS, "technology string, term string"))
 
@@ -634,7 +634,7 @@ def _technologies(spark, sf):
 
 @query(f"""t AS (SELECT skill_id AS technology, {SQUEEZED.format('term')} AS n, {SQUEEZED.format("l1 || ' ' || l2")} AS x FROM skills),
 s AS (SELECT technology, CASE WHEN n = 'redwidget' THEN 1.0 WHEN contains(n, 'redwidget') OR contains('redwidget', n) THEN 0.94 WHEN contains(x, 'redwidget') THEN 0.86 ELSE 0.0 END AS score FROM t)
-SELECT technology, round(score, 4) AS score FROM s WHERE score >= 0.34 ORDER BY score DESC, technology LIMIT 8""")
+SELECT technology, CAST(round(score, 4) AS DOUBLE) AS score FROM s WHERE score >= 0.34 ORDER BY score DESC, technology LIMIT 8""")
 def tech_search(spark, sf):
     return emerging.search(_technologies(spark, sf), "Red Widget", fuzzy=False).select("technology", "score")
 
