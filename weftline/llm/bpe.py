@@ -26,8 +26,7 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
 
-from weftline import ensure_importable
-from weftline.llm.common import CHUNK_BYTES, expand, row_chunks, text_buffer
+from weftline.llm.common import CHUNK_BYTES, expand, frugal, prepare, row_chunks, text_buffer
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -161,8 +160,8 @@ class Codec:
     # -- words already encoded: an open-addressed table of hashes, and the words' ids in one array
 
     #: Words kept before the memory of words is emptied.
-    CACHE_WORDS = 1_500_000
-    _BITS = 22
+    CACHE_WORDS = 400_000
+    _BITS = 21
 
     def reset(self) -> None:
         self.slot_hash = np.zeros(1 << self._BITS, np.uint64)
@@ -557,7 +556,7 @@ def codec(path: str) -> Codec:
 
 def tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, ids (the tokens as little-endian unsigned 32-bit integers) and the decoded text."""
-    ensure_importable(docs.sparkSession)
+    prepare(docs.sparkSession)
     path = path or public_tokenizers.path(VOCABULARY)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -571,12 +570,12 @@ def tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
                 ["doc_id", "ids", "decoded"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary, decoded string")
+    return docs.select("doc_id", "text").mapInArrow(frugal(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary, decoded string")
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256 and decoded_sha256 of the encoded and decoded text."""
-    ensure_importable(docs.sparkSession)
+    prepare(docs.sparkSession)
     path = path or public_tokenizers.path(VOCABULARY)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -592,4 +591,4 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
                     sha_d.append(hashlib.sha256(c.decode(own)).hexdigest())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(np.diff(at), pa.int64()), pa.array(sha_i), pa.array(sha_d)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(frugal(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

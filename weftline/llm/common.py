@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-import os
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from weftline import ensure_importable
+
 #: Bytes of text that one vectorised step handles at once; temporaries are about 60 times this.
 CHUNK_BYTES = 1 << 20
 
@@ -75,5 +79,31 @@ def expand(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray, ids: np.ndarr
     return flat[np.arange(total) + np.repeat(starts[ids] - (end - size), size)]
 
 
-def single_thread() -> None:
-    os.environ.setdefault("OMP_NUM_THREADS", "1")
+#: Rows of an Arrow batch, where the session leaves that at Spark's default: texts can be long.
+BATCH_ROWS = 2000
+
+
+def prepare(spark: SparkSession) -> None:
+    """What every operator with Python workers needs of the session."""
+    ensure_importable(spark)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def release() -> None:
+    """Gives memory that a task no longer uses back to the system: workers live on after it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, with memory released when its partition is done."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return wrapped

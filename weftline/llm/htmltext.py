@@ -22,8 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline import ensure_importable
-from weftline.llm.common import materialize
+from weftline.llm.common import frugal, materialize, prepare
 
 #: A container that holds this share of the text is entered.
 MOST = 0.6
@@ -221,7 +220,7 @@ def ballots(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array([v[0] for v in votes], pa.string()), pa.array([v[1] for v in votes], pa.int64())], ["host", "path", "chars"])
 
     rows = pages.select(host(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
-    return rows.mapInArrow(run, "host string, path string, chars long").filter("chars > 0")
+    return rows.mapInArrow(frugal(run), "host string, path string, chars long").filter("chars > 0")
 
 
 def elect(pages: DataFrame) -> DataFrame:
@@ -236,7 +235,7 @@ def elect(pages: DataFrame) -> DataFrame:
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and path_votes (whether the host's consensus was used)."""
-    ensure_importable(pages.sparkSession)
+    prepare(pages.sparkSession)
     paths = materialize(elect(pages), "paths")
     side = F.broadcast(paths) if paths.count() <= BROADCAST_HOSTS else paths
     rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), host(F.col("url")).alias("host")).join(side, "host", "left").drop("host")
@@ -256,4 +255,4 @@ def extract(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(agreed, pa.bool_())], ["page_id", "url", "text", "by_consensus"])
 
     kinds = ", ".join(f"{c} {pages.schema[c].dataType.simpleString()}" for c in ("page_id", "url"))
-    return rows.mapInArrow(run, f"{kinds}, text string, by_consensus boolean")
+    return rows.mapInArrow(frugal(run), f"{kinds}, text string, by_consensus boolean")

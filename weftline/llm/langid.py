@@ -14,7 +14,6 @@ not matter.  Very long texts are read in pieces, and none is cut off.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline import ensure_importable
-from weftline.llm.common import CHUNK_BYTES, row_chunks, text_buffer
+from weftline.llm.common import CHUNK_BYTES, frugal, prepare, row_chunks, text_buffer
 
 #: Texts for each language that the model is expected to be counted on, at most.
 SAMPLE_PER_LANGUAGE = 1500
@@ -32,7 +30,6 @@ BUCKETS = 1 << 16
 PENALTY = 6.0
 ROUNDS = 12
 
-_LETTER = re.compile(r"[^\W\d_]")
 #: Bytes in lower case; what is no letter becomes a space.
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
@@ -138,7 +135,7 @@ class Model:
 def learn(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
     """Counts trigrams on labelled texts; a language with more than ``per_language`` of them gives
     the share of its rows, chosen by a hash of text and doc_id, that is expected to come to so many."""
-    ensure_importable(docs.sparkSession)
+    prepare(docs.sparkSession)
     labelled = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).filter(learning_rows(docs))
     sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     languages = sorted(sizes)
@@ -162,7 +159,7 @@ def learn(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
             at = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(own[at])], ["lang", "bucket", "n"])
 
-    rows = sample.select("lang", "text").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    rows = sample.select("lang", "text").mapInArrow(frugal(count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     # At most languages x BUCKETS rows, whatever the input.
     table = rows.toArrow()
     counts = np.zeros((len(languages), BUCKETS))
@@ -174,7 +171,7 @@ def learn(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
 
 def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The columns ``keep`` and lang_pred, lang_score, lang_shares (of the chosen set, as a map)."""
-    ensure_importable(docs.sparkSession)
+    prepare(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.log))  # languages x BUCKETS floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +189,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
                     a, b = offsets[i + k] - offsets[i], offsets[i + k + 1] - offsets[i]
                     head = piece[a : min(b, a + 64)]
                     plain = ((head | 32) >= 97) & ((head | 32) <= 122)
-                    if not plain.any() and not _LETTER.search(texts[i + int(k)].as_py()):
+                    if not plain.any() and not any(map(str.isalpha, texts[i + int(k)].as_py())):
                         best[k], score[k], shares[k] = -1, 0, 0
                 maps = [[(own.languages[x], float(r[x])) for x in np.flatnonzero(r)] for r in shares]
                 yield pa.RecordBatch.from_arrays(
@@ -202,4 +199,4 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 
     rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.col("text").cast("string").alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in (docs.schema[c] for c in keep))
-    return rows.mapInArrow(run, f"{schema}, lang_pred string, lang_score double, lang_shares map<string, double>")
+    return rows.mapInArrow(frugal(run), f"{schema}, lang_pred string, lang_score double, lang_shares map<string, double>")

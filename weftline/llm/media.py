@@ -20,12 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline import ensure_importable
 from weftline.llm import webp
-from weftline.llm.common import row_chunks, text_buffer
+from weftline.llm.common import frugal, prepare, row_chunks, text_buffer
 
 #: Bytes of payload that are written or read in step.
-STEP = 6 << 20
+STEP = 2 << 20
 
 
 def filled(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -49,7 +48,7 @@ def tiles(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def stored(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes (before filling) and media (the files)."""
-    ensure_importable(docs.sparkSession)
+    prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = webp.Writer()
@@ -65,7 +64,7 @@ def stored(docs: DataFrame) -> DataFrame:
                 media = [b"".join(files[e - k : e]) for e, k in zip(ends, n, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(np.diff(offsets[i : j + 1]), pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(frugal(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
 
 
 def split(media: bytes) -> list[bytes]:
@@ -123,7 +122,7 @@ def measured(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "n_bytes", *NAMES])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return rows.mapInArrow(frugal(run), f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 NAMES = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]

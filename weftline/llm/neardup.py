@@ -24,9 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline import ensure_importable
 from weftline.llm import probminhash as pm
-from weftline.llm.common import CHUNK_BYTES, materialize, row_chunks, text_buffer
+from weftline.llm.common import CHUNK_BYTES, frugal, materialize, prepare, row_chunks, text_buffer
 
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 6
@@ -42,12 +41,12 @@ def text_hash(column: str = "text"):
 
 def signed(docs: DataFrame) -> DataFrame:
     """doc_id, th (hash of the text), node (128 bits of the words; null without words), keys of the bands."""
-    ensure_importable(docs.sparkSession)
+    prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffer(batch.column("text"))
-            for i, j in row_chunks(offsets, 4 * CHUNK_BYTES):
+            for i, j in row_chunks(offsets, 2 * CHUNK_BYTES):
                 words, at = pm.word_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 raw = words.tobytes()
                 node = [hashlib.blake2b(raw[8 * a : 8 * b], digest_size=16).digest() if b > a else None for a, b in zip(at[:-1], at[1:], strict=True)]
@@ -57,13 +56,13 @@ def signed(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), batch.column("th").slice(i, j - i), pa.array(node, pa.binary()), listed], ["doc_id", "th", "node", "keys"])
 
     rows = docs.select("doc_id", text_hash().alias("th"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, node binary, keys array<long>")
+    return rows.mapInArrow(frugal(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, node binary, keys array<long>")
 
 
 def _features(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     data, offsets = text_buffer(column)
     out = []
-    for i, j in row_chunks(offsets, 4 * CHUNK_BYTES):
+    for i, j in row_chunks(offsets, 2 * CHUNK_BYTES):
         text, h, times = pm.counted(*pm.shingles(*pm.word_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])))
         at = np.searchsorted(text, np.arange(j - i + 1))
         w = pm.weight(times)
@@ -76,7 +75,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            step = 512
+            step = 128
             for i in range(0, batch.num_rows, step):
                 part = batch.slice(i, step)
                 left, right = _features(part.column("text_a")), _features(part.column("text_b"))
@@ -85,7 +84,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 
     a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(frugal(run), "a binary, b binary")
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -120,7 +119,7 @@ def sketched(texts: DataFrame) -> DataFrame:
                 listed = pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i + 1) * SKETCH_LONGS, SKETCH_LONGS, dtype=np.int32)), pa.array(bits.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column("node").slice(i, j - i), listed], ["node", "sketch"])
 
-    return texts.select("node", "text").mapInArrow(run, "node binary, sketch array<long>")
+    return texts.select("node", "text").mapInArrow(frugal(run), "node binary, sketch array<long>")
 
 
 def _toward_largest(members: DataFrame, comps: DataFrame, turn: int) -> DataFrame:

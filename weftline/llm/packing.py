@@ -26,9 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline import ensure_importable
 from weftline.llm.bpe import VOCABULARY, codec
-from weftline.llm.common import materialize, row_chunks, text_buffer
+from weftline.llm.common import frugal, materialize, prepare, row_chunks, text_buffer
 
 CAPACITY = 2048
 UNIT = 16
@@ -39,7 +38,7 @@ WINDOW = 4_000_000
 
 def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens and ids (with the end token; 16-bit where the vocabulary allows)."""
-    ensure_importable(docs.sparkSession)
+    prepare(docs.sparkSession)
     path = path or public_tokenizers.path(VOCABULARY)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,7 +55,7 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
                     ["doc_id", "n_tokens", "ids"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(frugal(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids binary")
 
 
 def knapsack(value: np.ndarray, room: int) -> tuple[float, np.ndarray]:
@@ -230,7 +229,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, uni
         if id_type is not None and (fresh or packer.rest) and (out := flush(True)) is not None:
             yield out
 
-    return tokens.mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return tokens.mapInArrow(frugal(run), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]

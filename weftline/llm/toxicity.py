@@ -25,8 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline import ensure_importable
-from weftline.llm.common import materialize
+from weftline.llm.common import frugal, materialize, prepare
 
 THRESHOLD = 0.7
 #: Expected labelled texts that the model learns from, at most.
@@ -35,7 +34,7 @@ STEM = range(4, 9)
 CANDIDATES = 20_000
 TERMS = 400
 WINDOW = 6
-WORDS_KEPT = 400_000
+WORDS_KEPT = 150_000
 
 # Terms known before any label is read.
 SEED = "idiot moron imbecile stupid dumbass loser scum trash pathetic worthless disgusting vermin scumbag bastard asshole retard bitch whore slut cretin degenerate subhuman".split()
@@ -277,7 +276,7 @@ def sample_rows(docs: DataFrame, labels: DataFrame, toxic: int, clean: int) -> D
 
 
 def learn(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean: int = SAMPLE_CLEAN) -> Scorer:
-    ensure_importable(docs.sparkSession)
+    prepare(docs.sparkSession)
     sample = sample_rows(docs, labels, toxic, clean)
     sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
@@ -294,7 +293,7 @@ def learn(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean:
             part = keys[a : a + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([c1[k] for k in part], pa.int64()), pa.array([c0[k] for k in part], pa.int64())], ["term", "n1", "n0"])
 
-    counted = sample.mapInArrow(features, "term string, n1 long, n0 long").groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+    counted = sample.mapInArrow(frugal(features), "term string, n1 long, n0 long").groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
     # Far likelier in toxic texts; the most frequent of them, at most CANDIDATES.
     likely = counted.filter((F.col("n1") >= 2) & (F.col("n1") * max(n0, 1) >= 20 * F.col("n0") * max(n1, 1))).orderBy(F.desc("n1"), "term").limit(CANDIDATES)
     rows = likely.collect()
@@ -311,7 +310,7 @@ def learn(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean:
                 signs.append([min((h * a & 0xFFFFFFFF for h in hashes), default=-1) for a in MULTIPLIERS])
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.string())), pa.array(signs, pa.list_(pa.int64()))], ["terms", "signs"])
 
-    found = sample.filter("toxic = 1").mapInArrow(present, "terms array<string>, signs array<long>").collect() if n1 else []
+    found = sample.filter("toxic = 1").mapInArrow(frugal(present), "terms array<string>, signs array<long>").collect() if n1 else []
     together: dict[int, set[str]] = {}
     for r, g in zip(found, copies([r["signs"] for r in found]), strict=True):
         together.setdefault(g, set()).update(r["terms"])
@@ -333,7 +332,7 @@ def learn(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean:
             found = [draft.hits(set(_WORD.findall(t.lower()))) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([sorted({f"{e > 0:d}{t}" for t, e in f.values()}) for f in found], pa.list_(pa.string()))], ["toxic", "terms"])
 
-    used = sample.mapInArrow(use, "toxic int, terms array<string>")
+    used = sample.mapInArrow(frugal(use), "toxic int, terms array<string>")
     exact: dict[int, Counter] = {0: Counter(), 1: Counter()}
     for r in used.select("toxic", F.explode("terms").alias("term")).groupBy("toxic", "term").count().collect():  # at most two rows for each term and label
         exact[r["toxic"]][r["term"]] += r["count"]
@@ -355,7 +354,7 @@ def learn(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean:
 
 def score(docs: DataFrame, scorer: Scorer, keep: list[str]) -> DataFrame:
     """The columns ``keep``, toxicity and toxic_terms."""
-    ensure_importable(docs.sparkSession)
+    prepare(docs.sparkSession)
     state = (scorer.weights, scorer.misspelt, scorer.bias, scorer.silent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -366,4 +365,4 @@ def score(docs: DataFrame, scorer: Scorer, keep: list[str]) -> DataFrame:
 
     rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.col("text").cast("string").alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in (docs.schema[c] for c in keep))
-    return rows.mapInArrow(run, f"{schema}, toxicity double, toxic_terms array<string>")
+    return rows.mapInArrow(frugal(run), f"{schema}, toxicity double, toxic_terms array<string>")
