@@ -96,6 +96,33 @@ def test_clusters_hold_every_posting_once(spark):
     assert max(sizes.values()) <= 10
 
 
+def test_clusters_from_vectors_follow_the_pairwise_rule(spark):
+    rng = random.Random(8)
+    postings = {j: {rng.randrange(14): rng.uniform(0.5, 3) for _ in range(rng.randint(1, 5))} for j in range(150)}
+    postings |= {200: {90: 1.0, 91: 2.0}, 201: {91: 1.0}, 202: {95: 0.0}}
+    norm = {j: sum(w * w for w in v.values()) ** 0.5 for j, v in postings.items()}
+    cosine = lambda a, b: sum(w * postings[b].get(k, 0) for k, w in postings[a].items()) / (norm[a] * norm[b]) if norm[a] and norm[b] else 0.0
+    pairs = {(a, b): c for a in postings for b in postings if a < b and (c := cosine(a, b)) > 0}
+    want = cluster.assign(sorted(postings), pairs, 0.35, 6, 3)
+    rows = spark.createDataFrame([(j, k, w) for j, v in postings.items() for k, w in v.items()], "job_id long, kw long, w double")
+    got = {r["job_id"]: r["cluster_id"] for r in cluster.greedy_vectors(rows, capacity=6).collect()}
+    first = {}
+    for j in sorted(postings):
+        first.setdefault(want[j], j)
+    assert got == {j: first[k] for j, k in want.items()}
+
+
+def test_registered_clusters_use_terms_and_categories(spark, tmp_path):
+    lines = [(1, 1), (1, 2), (2, 3), (2, 4), (3, 5)]
+    spark.createDataFrame([(o, p, 0.0, "A", "F") for o, p in lines], "l_orderkey long, l_partkey long, l_discount double, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    names = {1: ("red nut", "A"), 2: ("tin cap", "B"), 3: ("red nut", "A"), 4: ("tin cap", "B"), 5: ("oak peg", "C")}
+    spark.createDataFrame([(p, t, "x", b) for p, (t, b) in names.items()], "p_partkey long, p_name string, p_type string, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    from weftline import catalogue
+
+    # Postings 1 and 2 share every term and category, and no skill id.
+    assert {r["job_id"]: r["cluster_id"] for r in catalogue.QUERIES["greedy_cluster"](spark, str(tmp_path)).collect()} == {1: 1, 2: 1, 3: 3}
+
+
 def test_review(spark, seed):
     _, edges = seed
     decisions = spark.createDataFrame([("J1|1", 1, "approve"), ("J1|1", 2, "reject"), ("J9|9", 1, "approve")], "target_id string, turn int, action string")

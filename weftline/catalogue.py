@@ -403,9 +403,7 @@ def pair_cosine(spark, sf):
 @query()
 def greedy_cluster(spark, sf):
     """Order-dependent rule: rows only."""
-    vec = _skill_vectors(spark, sf)
-    pairs = vectors.pair_cosine(vec, 1e-9)
-    return cluster.greedy(vec.select("job_id").distinct(), pairs, threshold=0.5)
+    return cluster.greedy_vectors(vectors.weighted(_features(spark, sf)))
 
 
 PROFILE = """named AS (SELECT cluster_id, experience AS title, count(*) AS n FROM members JOIN jobs USING (job_id) GROUP BY 1, 2),
