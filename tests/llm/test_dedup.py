@@ -118,6 +118,18 @@ def test_near_duplicates_against_all_pairs(spark):
     assert kept.columns == docs.columns
 
 
+def test_sketches_keep_short_pairs_at_the_threshold(spark):
+    rng = random.Random(7)
+    words = lambda n: ["".join(rng.choices("abcdefghij", k=7)) for _ in range(n)]
+    rows = []
+    for i in range(400):
+        w = words(9)
+        rows += [(b"a%d" % i, " ".join(w)), (b"b%d" % i, " ".join(w[:8]))]  # 5 shingles, 4 of them
+    got = {bytes(r["node"]): r["sketch"] for r in neardup.sketched(spark.createDataFrame(rows, "node binary, text string")).collect()}
+    differ = [sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(got[b"a%d" % i], got[b"b%d" % i], strict=True)) for i in range(400)]
+    assert max(differ) <= 145  # what _across lets through
+
+
 def test_repeated_rows_and_empty_tables(spark):
     docs = docs_of(spark, [(1, "one two three four five six"), (1, "one two three four five six"), (None, "one two three four five six"), (2, "other words that stand alone here")])
     assert sorted((r["doc_id"], r["class_id"], r["class_size"]) for r in neardup.classes(docs).collect() if r["doc_id"]) == [(1, 1, 3), (2, 2, 1)]

@@ -115,7 +115,7 @@ def sketched(texts: DataFrame) -> DataFrame:
             for i, j in row_chunks(offsets):
                 text, h, times = pm.counted(*pm.shingles(*pm.word_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])))
                 sign = pm.signatures(text, h, pm.weight(times), j - i, 64 * SKETCH_LONGS)
-                bits = np.packbits((pm.scramble(sign) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
+                bits = np.packbits(pm.sketch_bits(sign), axis=1).view(np.int64)
                 listed = pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i + 1) * SKETCH_LONGS, SKETCH_LONGS, dtype=np.int32)), pa.array(bits.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column("node").slice(i, j - i), listed], ["node", "sketch"])
 

@@ -122,6 +122,11 @@ def signatures(text: np.ndarray, h: np.ndarray, w: np.ndarray, texts: int, regis
     return winner.reshape(texts, registers)
 
 
+def sketch_bits(sign: np.ndarray) -> np.ndarray:
+    """One bit of each register, from its shingle and its number: registers with one shingle have independent bits."""
+    return (scramble(sign + np.arange(1, sign.shape[1] + 1, dtype=np.uint64) * _M1) & np.uint64(1)).astype(np.uint8)
+
+
 def band_keys(sign: np.ndarray, bands: int) -> np.ndarray:
     """texts x bands: a 64-bit hash of each band's registers."""
     parts = sign.reshape(len(sign), bands, -1)
