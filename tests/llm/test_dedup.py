@@ -130,6 +130,20 @@ def test_sketches_keep_short_pairs_at_the_threshold(spark):
     assert max(differ) <= 145  # what _across lets through
 
 
+def test_copies_that_repeat_a_passage(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(8):
+        w = ["".join(rng.choices("abcdefghij", k=7)) for _ in range(160)]
+        x = w[:50] * 400 + w[50:]
+        for k in (60, 100, 140):  # each change takes five shingles
+            x[-k // 2] = "changed"
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(x))]
+    want = classes_by_hand(rows)
+    assert want == {i: i // 2 * 2 for i in range(16)}
+    assert {r["doc_id"]: r["class_id"] for r in neardup.classes(docs_of(spark, rows)).collect()} == want
+
+
 def test_repeated_rows_and_empty_tables(spark):
     docs = docs_of(spark, [(1, "one two three four five six"), (1, "one two three four five six"), (None, "one two three four five six"), (2, "other words that stand alone here")])
     assert sorted((r["doc_id"], r["class_id"], r["class_size"]) for r in neardup.classes(docs).collect() if r["doc_id"]) == [(1, 1, 3), (2, 2, 1)]

@@ -2,7 +2,8 @@
 
 Texts with the same words are one node.  Nodes that share the key of a band are
 candidates; a link is a verified similarity of THRESHOLD or more on five-word shingles,
-and classes are the components of all links.  A bucket's pairs are never listed as a
+plain or weighted.  Bands and sketches are over both: a text that repeats shingles has
+those of unit weights beside the weighted ones, in any other text they are the same.  Classes are the components of all links.  A bucket's pairs are never listed as a
 whole: in a few rounds each node is compared with one member of its bucket's largest
 component, which joins nearly everything that belongs together.  Then only pairs of
 different components are left.  Those whose 1,024-bit sketches allow the similarity
@@ -51,8 +52,11 @@ def signed(docs: DataFrame) -> DataFrame:
                 raw = words.tobytes()
                 node = [hashlib.blake2b(raw[8 * a : 8 * b], digest_size=16).digest() if b > a else None for a, b in zip(at[:-1], at[1:], strict=True)]
                 text, h, times = pm.counted(*pm.shingles(words, at))
-                keys = pm.band_keys(pm.signatures(text, h, pm.weight(times), j - i, BANDS * ROWS), BANDS)
-                listed = pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i + 1) * BANDS, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
+                sign = pm.signatures(text, h, pm.weight(times), j - i, BANDS * ROWS)
+                keys, plain = pm.band_keys(sign, BANDS), pm.band_keys(pm.plain_signatures(sign, text, h, times), BANDS)
+                own = np.concatenate([np.ones(keys.shape, bool), plain != keys], axis=1)
+                at = np.concatenate([[0], np.cumsum(own.sum(axis=1))]).astype(np.int32)
+                listed = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([keys, plain], axis=1)[own]))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), batch.column("th").slice(i, j - i), pa.array(node, pa.binary()), listed], ["doc_id", "th", "node", "keys"])
 
     rows = docs.select("doc_id", text_hash().alias("th"), F.col("text").cast("string").alias("text"))
@@ -107,7 +111,11 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def sketched(texts: DataFrame) -> DataFrame:
-    """node and a sketch: one bit of each of 64 x SKETCH_LONGS registers."""
+    """node and two sketches, weighted and plain: one bit of each of 64 x SKETCH_LONGS registers."""
+
+    def listed(sign: np.ndarray) -> pa.Array:
+        bits = np.packbits(pm.sketch_bits(sign), axis=1).view(np.int64)
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, (len(sign) + 1) * SKETCH_LONGS, SKETCH_LONGS, dtype=np.int32)), pa.array(bits.ravel()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,11 +123,10 @@ def sketched(texts: DataFrame) -> DataFrame:
             for i, j in row_chunks(offsets):
                 text, h, times = pm.counted(*pm.shingles(*pm.word_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])))
                 sign = pm.signatures(text, h, pm.weight(times), j - i, 64 * SKETCH_LONGS)
-                bits = np.packbits(pm.sketch_bits(sign), axis=1).view(np.int64)
-                listed = pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i + 1) * SKETCH_LONGS, SKETCH_LONGS, dtype=np.int32)), pa.array(bits.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column("node").slice(i, j - i), listed], ["node", "sketch"])
+                plain = pm.plain_signatures(sign, text, h, times)
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(i, j - i), listed(sign), listed(plain)], ["node", "sketch", "plain"])
 
-    return texts.select("node", "text").mapInArrow(frugal(run), "node binary, sketch array<long>")
+    return texts.select("node", "text").mapInArrow(frugal(run), "node binary, sketch array<long>, plain array<long>")
 
 
 def _toward_largest(members: DataFrame, comps: DataFrame, turn: int) -> DataFrame:
@@ -143,14 +150,14 @@ def _across(members: DataFrame, comps: DataFrame, keys: DataFrame, texts: DataFr
     some = here.select("node").distinct()
     sketch = materialize(sketched(texts.join(some, "node", "left_semi")).join(keys, "node"), "sketches")
     rows = here.join(sketch, "node")
-    x = rows.select("key", *(F.col(c).alias(f"{c}_a") for c in ("node", "comp", "keys", "sketch")))
-    y = rows.select("key", *(F.col(c).alias(f"{c}_b") for c in ("node", "comp", "keys", "sketch")))
+    x = rows.select("key", *(F.col(c).alias(f"{c}_a") for c in ("node", "comp", "keys", "sketch", "plain")))
+    y = rows.select("key", *(F.col(c).alias(f"{c}_b") for c in ("node", "comp", "keys", "sketch", "plain")))
     p = (1 - threshold) / 2
     n = 64 * SKETCH_LONGS
     most = int(n * p + 4.5 * (n * p * (1 - p)) ** 0.5)
-    differ = sum((F.bit_count(F.col("sketch_a")[i].bitwiseXOR(F.col("sketch_b")[i])) for i in range(SKETCH_LONGS)), F.lit(0))
+    differ = lambda c: sum((F.bit_count(F.col(f"{c}_a")[i].bitwiseXOR(F.col(f"{c}_b")[i])) for i in range(SKETCH_LONGS)), F.lit(0))
     shared = F.array_min(F.array_intersect("keys_a", "keys_b"))
-    on = (x["key"] == y["key"]) & (F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & (differ <= most) & (shared == x["key"])
+    on = (x["key"] == y["key"]) & (F.col("node_a") < F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & ((differ("sketch") <= most) | (differ("plain") <= most)) & (shared == x["key"])
     return x.join(y, on).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 

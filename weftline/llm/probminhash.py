@@ -122,6 +122,17 @@ def signatures(text: np.ndarray, h: np.ndarray, w: np.ndarray, texts: int, regis
     return winner.reshape(texts, registers)
 
 
+def plain_signatures(sign: np.ndarray, text: np.ndarray, h: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Signatures with all weights 1: those of ``sign``, except of texts that repeat a shingle."""
+    again = np.unique(text[times > 1])
+    if not len(again):
+        return sign
+    own = np.isin(text, again)
+    out = sign.copy()
+    out[again] = signatures(np.searchsorted(again, text[own]), h[own], np.ones(int(own.sum())), len(again), sign.shape[1])
+    return out
+
+
 def sketch_bits(sign: np.ndarray) -> np.ndarray:
     """One bit of each register, from its shingle and its number: registers with one shingle have independent bits."""
     return (scramble(sign + np.arange(1, sign.shape[1] + 1, dtype=np.uint64) * _M1) & np.uint64(1)).astype(np.uint8)
