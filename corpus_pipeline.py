@@ -1,6 +1,6 @@
 """A training-data pipeline over ``documents``: each stage's table is the next one's input.
 
-Toxic documents go, then those in which no known language holds a fair share, then lines
+Toxic documents go, then those without a letter, then lines
 that other documents hold already, then all but one of each class of near duplicates;
 what is left is packed.  Each stage works on every document that its predecessor kept.
 """
@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 from weftline.llm import langid, linededup, neardup, packing, toxicity
 from weftline.llm.common import materialize, table
 
-#: Share of a text's words that its first language holds at least.
-LEAST_SHARE = 0.4
-
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents whose toxicity is THRESHOLD or more, learned from ``labels``."""
@@ -24,9 +21,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that have no letter, or whose languages are none that ``lang`` names."""
+    """Without the documents that have no letter; texts in several languages stay, whatever their shares."""
     found = langid.predict(docs, langid.learn(docs), [*docs.columns])
-    return found.filter((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_SHARE)).select(*docs.columns)
+    return found.filter(F.col("lang_pred") != "und").select(*docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

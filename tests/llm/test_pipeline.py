@@ -42,6 +42,16 @@ def test_stages_in_order(spark, tmp_path):
     assert tokens(whole) == tokens(last)
 
 
+def test_texts_in_three_languages_stay(spark):
+    rng = random.Random(5)
+    pools = {k: ["".join(rng.choices(letters, k=6)) for _ in range(200)] for k, letters in (("aa", "abcdefg"), ("bb", "hijklmn"), ("cc", "opqrstu"))}
+    rows = [(100 * n + i, " ".join(rng.choices(pool, k=60)), k, "s", 0) for n, (k, pool) in enumerate(pools.items()) for i in range(30)]
+    rows += [(900, " ".join(w for pool in pools.values() for w in rng.choices(pool, k=60)), None, "s", 0), (901, "12 34", None, "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_unidentified(spark, docs, "").select("doc_id").collect()}
+    assert kept == {r[0] for r in rows} - {901}
+
+
 def test_empty_table(spark, tmp_path):
     sf = str(tmp_path)
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{sf}/documents.parquet")
