@@ -1,7 +1,9 @@
 import hashlib
 import itertools
+import os
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from weftline.llm import exactdedup, linededup, neardup
 from weftline.llm import probminhash as pm
 
+SF = "/root/testdata/sf0.01"
 SCHEMA = "doc_id long, text string, n int, line_dedup string, keep_id string"
 
 
@@ -96,6 +99,10 @@ def classes_by_hand(rows):
         a, b = sets[i], sets[j]
         if a and b and len(a & b) >= 0.8 * len(a | b):
             top[max(root(i), root(j))] = min(root(i), root(j))
+    for i in range(len(rows)):  # without words: equal but for white space
+        for j in range(i):
+            if not sets[i] and not sets[j] and "".join((rows[i][1] or "").split()) == "".join((rows[j][1] or "").split()):
+                top[max(root(i), root(j))] = min(root(i), root(j))
     return {rows[i][0]: min(rows[j][0] for j in range(len(rows)) if root(j) == root(i)) for i in range(len(rows))}
 
 
@@ -125,9 +132,52 @@ def test_sketches_keep_short_pairs_at_the_threshold(spark):
     for i in range(400):
         w = words(9)
         rows += [(b"a%d" % i, " ".join(w)), (b"b%d" % i, " ".join(w[:8]))]  # 5 shingles, 4 of them
-    got = {bytes(r["node"]): r["sketch"] for r in neardup.sketched(spark.createDataFrame(rows, "node binary, text string")).collect()}
-    differ = [sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(got[b"a%d" % i], got[b"b%d" % i], strict=True)) for i in range(400)]
-    assert max(differ) <= 145  # what _across lets through
+    deep = neardup.deep_signed(neardup.shingled(spark.createDataFrame(rows, "node binary, text string")))
+    got = {bytes(r["node"]): r for r in deep.collect()}
+    pairs = [(got[b"a%d" % i], got[b"b%d" % i]) for i in range(400)]
+    n = neardup.DEEP_BANDS * neardup.DEEP_ROWS
+    assert max(sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(a["sketch"], b["sketch"], strict=True)) for a, b in pairs) <= n * 0.1 + 4.5 * (n * 0.09) ** 0.5
+    assert sum(bool(set(a["keys"]) & set(b["keys"])) for a, b in pairs) >= 0.9 * 400  # at the threshold itself
+
+
+def test_equal_shingles_repeated_differently(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(40):
+        w = ["".join(rng.choices("abcdefghij", k=7)) for _ in range(120)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[:40] * 30 + w))]
+    want = classes_by_hand(rows)
+    assert {r["doc_id"]: r["class_id"] for r in neardup.classes(docs_of(spark, rows)).collect()} == want
+    assert sum(v != k for k, v in want.items()) == 40
+
+
+def test_many_variants_of_one_text(spark):
+    rng = random.Random(12)
+    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(400)]
+    base, rows = rng.choices(words, k=100), []
+    for i in range(300):
+        w = list(base)
+        for _ in range(rng.randint(0, 6)):
+            w[rng.randrange(len(w))] = rng.choice(words)
+        rows.append((i, " ".join(w)))
+    assert {r["doc_id"]: r["class_id"] for r in neardup.classes(docs_of(spark, rows)).collect()} == classes_by_hand(rows)
+
+
+@pytest.mark.skipif(not os.path.exists(SF), reason="the driver's tables are not here")
+def test_recall_on_whole_table(spark):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    holders, sets = {}, [shingled(t) for _, t in rows]
+    for n, s in enumerate(sets):
+        for x in s:
+            holders.setdefault(x, []).append(n)
+    shared = Counter()
+    for own in holders.values():
+        shared.update(itertools.combinations(own, 2))
+    links = [(i, j) for (i, j), c in shared.items() if c >= 0.8 * (len(sets[i]) + len(sets[j]) - c)]
+    of = {r["doc_id"]: r["class_id"] for r in neardup.classes(docs_of(spark, rows)).collect()}
+    found = sum(of[rows[i][0]] == of[rows[j][0]] for i, j in links)
+    print("links", len(links), "found", found)
+    assert len(links) > 50 and found >= 0.99 * len(links)
 
 
 def test_copies_that_repeat_a_passage(spark):
