@@ -61,7 +61,7 @@ def test_snapshot(spark):
     new = spark.createDataFrame([("J1", 1, 0.95, ""), ("J1", 3, 0.95, "y")], "job_id string, skill_id long, confidence double, evidence string")
     diff = evolve.difference(base, new)
     assert {(r["skill_id"], r["change"]) for r in diff.collect()} == {(3, "added"), (2, "removed")}
-    assert evolve.notes(diff).first()["note"] == "新增：3；移除：2"
+    assert evolve.notes(diff).first()["note"] == "新增能力 1 项（3）；移除能力 1 项（2）"
 
 
 def test_maturity(spark):
@@ -75,10 +75,15 @@ def test_search_and_providers(spark):
     tech = spark.createDataFrame([("T1", "强化学习", 1, "RL"), ("T2", "SLAM", 1, "mapping")], "technology string, name string, level int, text string")
     assert [r["technology"] for r in emerging.search(tech, "slam").collect()] == ["T2"]
 
-    def broken(_):
+    def unreachable(_):
+        raise ConnectionError
+
+    def faulty(_):
         raise RuntimeError
 
-    assert emerging.tasks_from(broken, tech) is tech and emerging.tasks_from(None, tech) is tech
+    with pytest.raises(RuntimeError):
+        emerging.tasks_from(faulty, tech)
+    assert emerging.tasks_from(unreachable, tech) is tech and emerging.tasks_from(None, tech) is tech
     raw = spark.createDataFrame([("a", ["k"], "odd", "2", 1), ("", ["k"], "model", "0.8", 2), ("b", [], "model", "0.8", 3)], "name string, keywords array<string>, task_group string, relevance string, place int")
     assert [(r["task_group"], r["relevance"]) for r in emerging.valid_tasks(raw, ["model"]).collect()] == [("model", 0.95)]
 

@@ -24,8 +24,6 @@ STOPWORDS = ["blue bolt", "Brand#7"]
 TERMS = [(1, "the"), (2, "then"), (3, "and the"), (4, "that"), (5, "General Public License"), (6, "all rights reserved"), (7, "de la"), (8, "und"), (9, "The")]
 COMBOS = [(1, "apache/license"), (2, "reserved、rights"), (3, "the+xyzzy"), (4, "nosuch,absent")]
 METRICS = [(1, "length mm"), (2, "speed ms"), (3, "version v"), (4, "share %")]
-TECH_TERMS = [("T1.01", "license"), ("T1.01", "rights"), ("T1.02", "the "), ("T2.01", "nosuchterm"), ("T3", "reserved")]
-TASKS = [("model", "license"), ("model", "version"), ("evaluation", "reserved"), ("data", "nosuchkeyword")]
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -51,7 +49,7 @@ def terms(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, "skill_id long, term string")
 
 
-NORM = r"""lower(trim(regexp_replace(regexp_replace(regexp_replace(translate({x}, '，。；：、（）【】！？“”‘’', ',.;:,()[]!?""'''''), '[\s\-/\\|]+', ' ', 'g'), '[^一-龥A-Za-z0-9_\s]', ' ', 'g'), '\s+', ' ', 'g')))"""
+NORM = r"""lower(trim(regexp_replace(regexp_replace(regexp_replace(translate({x}, '，。！？；：“”‘’（）【】、', ',.!?;:""''''()[] '), '[\s\-/\\|]+', ' ', 'g'), '[^一-龥A-Za-z0-9_\s]', ' ', 'g'), '\s+', ' ', 'g')))"""
 
 
 def norm(x: str) -> str:
@@ -123,7 +121,7 @@ def graph_job_nodes_quota(spark, sf):
     return graph.job_nodes(R.jobs(spark, sf), R.edges(spark, sf), R.skills(spark, sf), QUOTAS, LIMIT_JOBS)
 
 
-@query("""best AS (SELECT job_id, skill_id, row_number() OVER (PARTITION BY job_id ORDER BY confidence DESC, skill_id) AS place FROM edges WHERE status != 'rejected')
+@query("""best AS (SELECT job_id, skill_id, row_number() OVER (PARTITION BY job_id ORDER BY confidence DESC, skill_id) AS place FROM edges WHERE status = 'approved')
 SELECT job_id, string_agg(CAST(skill_id AS VARCHAR), ',' ORDER BY place) AS skills, count(*) AS n FROM best WHERE place <= 8 GROUP BY 1""")
 def job_top8_skills(spark, sf):
     return graph.top_skills(R.edges(spark, sf))
@@ -138,7 +136,7 @@ def graph_edges_selected(spark, sf):
 
 
 HEAT = f"""pairs AS (SELECT DISTINCT l1, l2, job_id, level FROM edges JOIN skills USING (skill_id) JOIN jobs USING (job_id)
- WHERE status != 'rejected' AND l1 ILIKE 's%' AND (collect_date >= DATE '{TODAY}' - {DAYS} OR collect_date IS NULL)),
+ WHERE status = 'approved' AND l1 ILIKE 's%' AND (collect_date >= DATE '{TODAY}' - {DAYS} OR collect_date IS NULL)),
 heat AS (SELECT l1, l2, count(*) FILTER (level = 'junior') AS junior, count(*) FILTER (level = 'mid') AS mid, count(*) FILTER (level = 'senior') AS senior, count(*) AS total FROM pairs GROUP BY 1, 2)"""
 
 
@@ -197,21 +195,21 @@ def resume_list_counts(spark, sf):
 # -- deduplication and scalar functions
 
 KEY = "concat_ws('|', lower(regexp_replace(coalesce({0}, ''), '\\s+', '', 'g')), lower(regexp_replace(coalesce({1}, ''), '\\s+', '', 'g')), lower(regexp_replace(coalesce({2}, ''), '\\s+', '', 'g')))"
-DOC_KEY = KEY.format("lang", "split_part(text, chr(10), 1)", "CAST(n_chars // 1000 AS VARCHAR)")
+DOC_KEY = KEY.format("lang", "text", "source")
 
 
 def _doc_key():
-    return S.dedup_key(F.col("lang"), F.substring_index("text", "\n", 1), F.floor(F.col("n_chars") / 1000).cast("string"))
+    return F.md5(S.dedup_key(F.col("lang"), F.col("text"), F.col("source")))
 
 
-@query(f"SELECT page_id, md5({KEY.format('url', 'substr(html, 1, 200)', 'NULL')}) AS key FROM pages")
+@query(f"SELECT page_id, md5({KEY.format('url', 'html', 'NULL')}) AS key FROM pages")
 def dedup_key(spark, sf):
-    return R.read(spark, sf, "pages").select("page_id", F.md5(S.dedup_key(F.col("url"), F.substring("html", 1, 200), F.lit(None))).alias("key"))
+    return R.read(spark, sf, "pages").select("page_id", F.md5(S.dedup_key(F.col("url"), F.col("html"), F.lit(None))).alias("key"))
 
 
 @query(f"SELECT min(doc_id) AS doc_id, md5(k) AS key FROM (SELECT doc_id, {DOC_KEY} AS k FROM documents) GROUP BY k")
 def dedup_first_wins(spark, sf):
-    return ingest.first_wins(R.read(spark, sf, "documents"), _doc_key(), "doc_id").select("doc_id", F.md5(_doc_key()).alias("key"))
+    return ingest.first_wins(R.read(spark, sf, "documents"), _doc_key(), "doc_id").select("doc_id", _doc_key().alias("key"))
 
 
 @query(f"SELECT doc_id, min(doc_id) OVER (PARTITION BY k) AS survivor, count(*) OVER (PARTITION BY k) AS group_size FROM (SELECT doc_id, {DOC_KEY} AS k FROM documents)")
@@ -259,10 +257,10 @@ def mask_key(spark, sf):
     return R.resumes(spark, sf).select("resume_id", S.mask_key(F.col("name")).alias("masked"))
 
 
-@query(r"""t AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS t FROM documents),
+@query(r"""t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '\s+', ' ', 'g') AS t FROM documents),
 p AS (SELECT doc_id, t, nullif(strpos(lower(t), 'license'), 0) - 1 AS a, nullif(strpos(lower(t), 'reserved'), 0) - 1 AS b FROM t),
 s AS (SELECT doc_id, t, greatest(0, coalesce(least(a, b), 0) - 40) AS s FROM p)
-SELECT doc_id, CASE WHEN s > 0 THEN '…' ELSE '' END || substr(t, s + 1, 170) || CASE WHEN s + 170 < length(t) THEN '…' ELSE '' END AS snippet FROM s""")
+SELECT doc_id, substr(t, s + 1, 170) || CASE WHEN s + 170 < length(t) THEN '…' ELSE '' END AS snippet FROM s""")
 def snippet(spark, sf):
     return documents(spark, sf).select("doc_id", S.snippet(F.col("text"), ["license", "Reserved"]).alias("snippet"))
 
@@ -300,14 +298,14 @@ def extract_combination(spark, sf):
     return extract.combinations(documents(spark, sf), terms(spark, COMBOS))
 
 
-def _metric_sql() -> str:
-    parts = [(i, p.replace(f"(?!{extract.EDGE})", "")) for i, t in METRICS if (p := extract.metric_pattern(t.replace("%", "").strip()))]
-    return f"plain AS (SELECT doc_id, {norm('text')} AS t FROM documents) " + " UNION ALL ".join(f"SELECT doc_id, {i} AS skill_id FROM plain WHERE regexp_matches(t, '(^|[^A-Za-z0-9_]){p}([^A-Za-z0-9_]|$)')" for i, p in parts)
+METRIC_SQL = f"""plain AS (SELECT doc_id, {norm('text')} AS t FROM documents), units AS (SELECT unnest(['m', 'mm', 'cm', 'km', 'um', 'nm', 'inch', 'g', 'kg', 'mg', 't', 'lb', 'ms', 'us', 'ns', 'min', 'h', 'hz', 'khz', 'mhz', 'ghz', 'pa', 'kpa', 'mpa', 'bar', 'psi', 'n', 'kn', 'j', 'kj', 'w', 'kw', 'mw', 'v', 'kv', 'a', 'ma', 'ah', 'deg', 'rad', 'rpm', 'lux', 'k', 'lm', 'db', 'dbm', 'ppm']) AS unit),
+wanted AS (SELECT id, string_agg(unit, '|') AS any_unit FROM (SELECT id, {norm('term')} AS n FROM ({values(METRICS)}) m(id, term)), units WHERE contains(n, unit) GROUP BY id)
+SELECT doc_id, CAST(id AS BIGINT) AS skill_id FROM plain, wanted WHERE regexp_matches(t, '[0-9]+(\\.[0-9]+)?\\s*(' || any_unit || ')')"""
 
 
-@query(_metric_sql())
+@query(METRIC_SQL)
 def extract_metric(spark, sf):
-    return extract.metrics(documents(spark, sf), terms(spark, METRICS)).withColumn("skill_id", F.col("skill_id").cast("int"))
+    return extract.metrics(documents(spark, sf), terms(spark, METRICS))
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -325,7 +323,7 @@ def review_summary(spark, sf):
 
 
 @query("""SELECT job_id || '|' || skill_id AS target_id, company, term, round(confidence, 6) AS confidence FROM edges JOIN skills USING (skill_id) JOIN jobs USING (job_id)
- WHERE status = 'pending' ORDER BY edges.confidence, job_id, skill_id LIMIT 200""")
+ WHERE status = 'pending' ORDER BY edges.confidence DESC, job_id, skill_id LIMIT 200""")
 def review_queue(spark, sf):
     return review.queue(R.edges(spark, sf), R.jobs(spark, sf), R.skills(spark, sf), 500).withColumn("confidence", F.round("confidence", 6))
 
@@ -410,7 +408,7 @@ PROFILE = """named AS (SELECT cluster_id, experience AS title, count(*) AS n FRO
 top AS (SELECT cluster_id, title FROM named QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, length(title) DESC, title) = 1),
 titles AS (SELECT cluster_id, array_to_string(list_sort(list(title))[1:3], '、') AS titles, sum(n)::BIGINT AS jobs FROM named GROUP BY 1),
 kws AS (SELECT DISTINCT cluster_id, term AS kw FROM members JOIN edges USING (job_id) JOIN skills USING (skill_id) WHERE status = 'approved'),
-words AS (SELECT cluster_id, list_sort(list(kw))[1:10] AS kw, count(*) AS n_keywords FROM kws GROUP BY 1)"""
+words AS (SELECT cluster_id, list_sort(list(kw))[1:10] AS kw, list_sort(list(kw))[11:16] AS further, count(*) AS n_keywords FROM kws GROUP BY 1)"""
 
 
 def _profile(spark, sf):
@@ -420,22 +418,28 @@ def _profile(spark, sf):
 
 @query(PROFILE + " SELECT cluster_id, title AS name, titles, jobs, array_to_string(kw, ',') AS keywords, n_keywords FROM top JOIN titles USING (cluster_id) LEFT JOIN words USING (cluster_id)")
 def cluster_profile(spark, sf):
-    return _profile(spark, sf)
+    return _profile(spark, sf).drop("further")
 
 
-@query(PROFILE + """ SELECT cluster_id, title, array_to_string(kw[1:8], ',') AS required, array_to_string(kw[9:10], ',') AS bonus, titles AS scenarios, 'pending' AS review_status FROM top JOIN titles USING (cluster_id) LEFT JOIN words USING (cluster_id)""")
-def definition_heuristic(spark, sf):
-    return cluster.definition(_profile(spark, sf))
+@query(PROFILE + " SELECT cluster_id, '以' || title || '为代表的岗位集合，核心技能包括' || coalesce(array_to_string(kw[1:5], ', '), '无明确关键词') || '。' AS description FROM top LEFT JOIN words USING (cluster_id)")
+def cluster_description(spark, sf):
+    return cluster.described(_profile(spark, sf))
 
 
-CLASSES = """rows AS (SELECT cluster_id, l1, l2 FROM members JOIN edges USING (job_id) JOIN skills USING (skill_id) WHERE status != 'rejected'),
+CLASSES = """rows AS (SELECT cluster_id, job_id, l1, l2 FROM members JOIN edges USING (job_id) JOIN skills USING (skill_id) WHERE status != 'rejected'),
 size AS (SELECT cluster_id, count(*) AS jobs FROM members GROUP BY 1),
 t1 AS (SELECT cluster_id, l1 FROM rows GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY count(*) DESC, l1) = 1),
 t2 AS (SELECT cluster_id, l2, count(*) AS n FROM rows GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY count(*) DESC, l2) = 1),
-al AS (SELECT cluster_id, count(*) AS n FROM rows GROUP BY 1)"""
+al AS (SELECT cluster_id, count(DISTINCT job_id) AS n FROM rows WHERE l2 != '' GROUP BY 1)"""
+
+
+@query(PROFILE + ", " + CLASSES + """ SELECT cluster_id, title, '围绕' || coalesce(l2, '该领域') || '方向开展专业工作；完成岗位相关的技术方案落地与交付；与团队协作推进项目迭代优化' AS duties, coalesce(array_to_string(kw[1:8], ','), '') AS required, coalesce(array_to_string(further, ','), '') AS bonus,
+ replace(titles, '、', '；') AS scenarios, 'pending' AS review_status FROM top JOIN titles USING (cluster_id) LEFT JOIN words USING (cluster_id) LEFT JOIN t2 USING (cluster_id)""")
+def definition_heuristic(spark, sf):
+    return cluster.definition(_profile(spark, sf), cluster.classify(R.cluster_members(spark, sf), R.edges(spark, sf), R.skills(spark, sf)))
 
 
-@query(CLASSES + """ SELECT cluster_id, jobs, coalesce(l1, '') AS l1, coalesce(l2, '') AS l2, round(coalesce(t2.n / jobs, 0.0), 4) AS coverage, round(coalesce(t2.n / al.n, 0.0), 4) AS ratio
+@query(CLASSES + """ SELECT cluster_id, jobs, coalesce(l1, '') AS l1, coalesce(l2, '') AS l2, round(coalesce(t2.n / jobs, 0.0), 4) AS coverage, round(coalesce(al.n / jobs, 0.0), 4) AS ratio
 FROM size LEFT JOIN t1 USING (cluster_id) LEFT JOIN t2 USING (cluster_id) LEFT JOIN al USING (cluster_id)""")
 def cluster_classify(spark, sf):
     return cluster.classify(R.cluster_members(spark, sf), R.edges(spark, sf), R.skills(spark, sf))
@@ -456,15 +460,16 @@ rd AS (SELECT resume_id, l1, sum(w) AS w FROM rv JOIN skills USING (skill_id) GR
 jd AS (SELECT job_id, l1, sum(w) AS w FROM jv JOIN skills USING (skill_id) GROUP BY 1, 2), jdl AS (SELECT job_id, sqrt(sum(w * w)) AS len FROM jd GROUP BY 1),
 pairs AS (SELECT resume_id, job_id, sum(rv.w * jv.w) AS dot, count(*) AS n_shared FROM rv JOIN jv USING (skill_id) GROUP BY 1, 2),
 doms AS (SELECT pairs.resume_id, pairs.job_id, sum(rd.w * jd.w) AS dot FROM pairs JOIN rd USING (resume_id) JOIN jd ON jd.job_id = pairs.job_id AND jd.l1 = rd.l1 GROUP BY 1, 2),
-parts AS (SELECT resume_id, job_id, n_shared, nr, nj, greatest(0, least(1, pairs.dot / (rl.len * jl.len))) AS capability, greatest(0, least(1, coalesce(doms.dot / (rdl.len * jdl.len), 0))) AS l1_score, n_shared / (nr + nj - n_shared) AS jaccard
- FROM pairs JOIN rl USING (resume_id) JOIN jl USING (job_id) JOIN rdl USING (resume_id) JOIN jdl USING (job_id) LEFT JOIN doms USING (resume_id, job_id)),
-scored AS (SELECT resume_id, job_id, round((0.5 * capability + 0.2 * l1_score + 0.2 * jaccard) / 0.9, 6) AS score, round(capability, 6) AS capability, round(l1_score, 6) AS l1_score, round(jaccard, 6) AS jaccard,
- round(least(1.0, nj / 8), 2) AS coverage, n_shared, nj - n_shared AS n_missing, CASE WHEN nj <= 0 THEN 'minor' WHEN (nj - n_shared) / nj >= 0.6 THEN 'severe' WHEN (nj - n_shared) / nj >= 0.3 THEN 'moderate' ELSE 'minor' END AS severity FROM parts),
-best AS (SELECT *, row_number() OVER (PARTITION BY resume_id ORDER BY score DESC, job_id) AS place FROM scored QUALIFY place <= 10)"""
+parts AS (SELECT resume_id, job_id, coalesce(jobs.experience, '') AS title, n_shared, nr, nj, greatest(0, least(1, pairs.dot / (rl.len * jl.len))) AS capability, greatest(0, least(1, coalesce(doms.dot / (rdl.len * jdl.len), 0))) AS l1_score, n_shared / (nr + nj - n_shared) AS jaccard
+ FROM pairs JOIN rl USING (resume_id) JOIN jl USING (job_id) JOIN rdl USING (resume_id) JOIN jdl USING (job_id) JOIN jobs USING (job_id) LEFT JOIN doms USING (resume_id, job_id)),
+scored AS (SELECT resume_id, job_id, round((0.5 * capability + 0.2 * l1_score + 0.2 * jaccard) / 0.9, 4) AS score, round(capability, 4) AS capability, round(l1_score, 4) AS l1_score, round(jaccard, 4) AS jaccard,
+ round(least(1.0, nr / 8), 2) AS coverage, title, n_shared, nj - n_shared AS n_missing, CASE WHEN nj <= 0 THEN 'minor' WHEN (nj - n_shared) / nj >= 0.6 THEN 'severe' WHEN (nj - n_shared) / nj >= 0.3 THEN 'moderate' ELSE 'minor' END AS severity FROM parts),
+best AS (SELECT *, row_number() OVER (PARTITION BY resume_id ORDER BY score DESC, title, job_id) AS place FROM scored QUALIFY place <= 10)"""
 
 
 def _parts(spark, sf, l1=None):
-    return match.components(R.resume_skills(spark, sf), R.edges(spark, sf), R.skills(spark, sf), l1)
+    titles = R.jobs(spark, sf).select("job_id", F.col("experience").alias("title"))
+    return match.components(R.resume_skills(spark, sf), R.edges(spark, sf), R.skills(spark, sf), l1, titles)
 
 
 @query(MATCH + " SELECT resume_id, job_id, score, capability, l1_score, jaccard FROM scored")
@@ -513,12 +518,11 @@ def title_ratio(spark, sf):
     return pairs.select("term", "other", F.round(match.title_ratio("term", "other"), 6).alias("ratio"))
 
 
-@query(MATCH + """, truth AS (SELECT DISTINCT o_custkey AS resume_id, o_orderkey AS job_id FROM orders),
-hit AS (SELECT DISTINCT resume_id, 1 AS hit FROM best JOIN truth USING (resume_id, job_id) WHERE place <= 5)
-SELECT count(*) AS resumes, count(hit) AS hits, round(avg(coalesce(hit, 0)), 6) AS hit_rate FROM (SELECT DISTINCT resume_id FROM best) LEFT JOIN hit USING (resume_id)""")
+@query(MATCH + """, first AS (SELECT score FROM best WHERE place = 1), n AS (SELECT count(*) AS sample FROM resumes), hit AS (SELECT count(*) AS match_hit FROM first),
+med AS (SELECT score AS top1_median FROM (SELECT score, row_number() OVER (ORDER BY score) - 1 AS i, count(*) OVER () AS k FROM first) WHERE i = k // 2)
+SELECT sample, match_hit, round(match_hit / sample, 6) AS hit_rate, top1_median, (SELECT max(score) FROM first) AS top1_max FROM n, hit, med""")
 def match_hit_rate(spark, sf):
-    truth = R.read(spark, sf, "orders").select(F.col("o_custkey").alias("resume_id"), F.col("o_orderkey").alias("job_id"))
-    return evaluate.hits(match.top_n(match.scored(_parts(spark, sf))), truth, 5)
+    return evaluate.hits(match.top_n(match.scored(_parts(spark, sf)), 1), R.resumes(spark, sf))
 
 
 @query(MATCH + " SELECT score AS median FROM (SELECT score, row_number() OVER (ORDER BY score) - 1 AS i, count(*) OVER () AS n FROM best WHERE place = 1) WHERE i = n // 2")
@@ -554,7 +558,7 @@ def snapshot_diff(spark, sf):
 
 
 @query(SNAPS + """, lists AS (SELECT job_id, count(*) AS n, list(skill_id ORDER BY skill_id) FILTER (change = 'added') AS a, list(skill_id ORDER BY skill_id) FILTER (change = 'removed') AS r, list(skill_id ORDER BY skill_id) FILTER (change = 'modified') AS m FROM changes GROUP BY 1)
-SELECT job_id, concat_ws('；', '新增：' || array_to_string(a[1:5], '、') || CASE WHEN len(a) > 5 THEN '等' ELSE '' END, '移除：' || array_to_string(r[1:5], '、') || CASE WHEN len(r) > 5 THEN '等' ELSE '' END, '调整：' || array_to_string(m[1:5], '、') || CASE WHEN len(m) > 5 THEN '等' ELSE '' END) AS note, n FROM lists""")
+SELECT job_id, concat_ws('；', '新增能力 ' || len(a) || ' 项（' || array_to_string(a[1:5], '、') || CASE WHEN len(a) > 5 THEN '等' ELSE '' END || '）', '移除能力 ' || len(r) || ' 项（' || array_to_string(r[1:5], '、') || CASE WHEN len(r) > 5 THEN '等' ELSE '' END || '）', '置信度/证据更新 ' || len(m) || ' 项') AS note, n FROM lists""")
 def update_note(spark, sf):
     return evolve.notes(_changes(spark, sf))
 
@@ -581,49 +585,141 @@ def milestone_contributions(spark, sf):
     return emerging.contributions(_events(spark, sf), F.lit(EVENT_DAY).cast("date"), 12, WEIGHTS)
 
 
-@query("""links AS (SELECT event_id, unnest([('T' || user_id % 7 || '.' || user_id % 3), ('T' || user_id % 5)]) AS code, unnest([1.0, 0.4]) AS weight FROM events),
-tech AS (SELECT unnest(['T1', 'T2.0', 'T3.1', 'T4']) AS technology)
-SELECT event_id, technology, CAST(max(weight) AS DOUBLE) AS relevance FROM links, tech WHERE starts_with(code, technology) OR starts_with(technology, code) GROUP BY 1, 2""")
-def milestone_links(spark, sf):
+SQUEEZED = "lower(regexp_replace({0}, '[^A-Za-z0-9一-鿿]+', '', 'g'))"
+NAMES = "(SELECT technology, term FROM (" + values([("T1", "license及rights"), ("T1", "Reserved!"), ("T10.2", "signup"), ("T10.2", "the an"), ("T3", "nosuchterm"), ("T3", "x")]) + ") n(technology, term))"
+CODES = "(" + values([("T1", "T1"), ("T10.2", "T10"), ("T3", "T3")]) + ")"
+LINKS = EVENTS + f""", links AS (SELECT event_id, unnest(['T' || user_id % 12 || '.' || user_id % 3, 'T' || user_id % 5]) AS code, unnest([1.0, 0.4]) AS weight FROM events),
+codes AS (SELECT * FROM {CODES} c(technology, own)),
+told AS (SELECT event_id, technology, 0.72 AS weight FROM events, (SELECT DISTINCT technology, {SQUEEZED.format('term')} AS term FROM {NAMES}) n WHERE n.term != '' AND contains({SQUEEZED.format("event_type || ' ' || props")}, n.term)),
+linked AS (SELECT event_id, technology, round(CAST(max(weight) AS DOUBLE), 3) AS relevance FROM (SELECT event_id, technology, weight FROM links, codes WHERE starts_with(code, own) OR starts_with(own, code) UNION ALL SELECT * FROM told) GROUP BY 1, 2)"""
+
+
+def _technologies_(spark):
+    rows = [("T1", "L2", "", "license及rights", ["Reserved!"]), ("T10.2", "L3", "T10", "signup", ["the an"]), ("T3", "L2", None, "nosuchterm", ["x"])]
+    return spark.createDataFrame(rows, "technology string, level string, parent string, name string, aliases array<string>")
+
+
+def _milestones(spark, sf):
     u = F.col("user_id")
-    links = F.array(F.struct(F.concat(F.lit("T"), u % 7, F.lit("."), u % 3).alias("code"), F.lit(1.0).alias("weight")), F.struct(F.concat(F.lit("T"), u % 5).alias("code"), F.lit(0.4).alias("weight")))
-    tech = spark.createDataFrame([("T1",), ("T2.0",), ("T3.1",), ("T4",)], "technology string")
-    return emerging.linked(R.read(spark, sf, "events").select("event_id", links.alias("links")), tech)
+    links = F.array(F.struct(F.concat(F.lit("T"), u % 12, F.lit("."), u % 3).alias("code"), F.lit(1.0).alias("weight")), F.struct(F.concat(F.lit("T"), u % 5).alias("code"), F.lit(0.4).alias("weight")))
+    return R.read(spark, sf, "events").select("event_id", F.to_date("ts").alias("date"), F.col("event_type").alias("type"), links.alias("links"), F.concat_ws(" ", "event_type", "props").alias("text"))
+
 
+@query(LINKS + " SELECT event_id, technology, relevance FROM linked")
+def milestone_links(spark, sf):
+    return emerging.linked(_milestones(spark, sf), _technologies_(spark))
 
-@query(f"""tech AS (SELECT technology, lower(term) AS term FROM ({values(TECH_TERMS)}) t(technology, term))
-SELECT doc_id, technology, count(DISTINCT term) AS n_terms, CAST(round(least(1.0, 0.5 + 0.12 * count(DISTINCT term)), 4) AS DOUBLE) AS confidence FROM documents, tech WHERE contains(lower(coalesce(text, '')), term) GROUP BY 1, 2""")
+
+@query(LINKS + """, placed AS (SELECT l.technology, l.event_id, e.date, l.relevance, row_number() OVER (PARTITION BY l.technology ORDER BY e.date DESC, l.relevance DESC, l.event_id) AS place FROM linked l JOIN ev e USING (event_id))
+SELECT technology, event_id, CAST(date AS VARCHAR) AS date, relevance, place FROM placed WHERE place <= 50""")
+def milestones_latest(spark, sf):
+    m = _milestones(spark, sf)
+    return emerging.milestones_of(emerging.linked(m, _technologies_(spark)), m, 50).select("technology", "event_id", F.col("date").cast("string").alias("date"), "relevance", "place")
+
+
+TECH_NAMES = values([("T1", "license及rights"), ("T1", "Reserved!"), ("T1", "license"), ("T1", "rights"), ("T10.2", "signup"), ("T10.2", "the an"), ("T3", "nosuchterm"), ("T3", "x")])
+RELATED = f"""names AS (SELECT DISTINCT technology, {SQUEEZED.format('term')} AS term FROM ({TECH_NAMES}) n(technology, term)),
+hits AS (SELECT doc_id, technology, list_sort(list(DISTINCT term)) AS terms FROM documents, names WHERE length(term) >= 2 AND contains({SQUEEZED.format("coalesce(text, '')")}, term) GROUP BY 1, 2),
+scored AS (SELECT technology, doc_id, CAST(len(terms) AS INT) AS n_terms, array_to_string(terms[1:5], ',') AS matched, round(least(1.0, 0.5 + 0.12 * len(terms)), 3) AS confidence FROM hits),
+related AS (SELECT *, row_number() OVER (PARTITION BY technology ORDER BY confidence DESC, doc_id) AS place FROM scored QUALIFY place <= 600)"""
+
+
+def _texts(spark, sf):
+    return R.read(spark, sf, "documents").select("doc_id", "text", F.col("source").alias("company"), F.concat_ws(" ", "source", "lang").alias("title"))
+
+
+@query(RELATED + " SELECT technology, doc_id, n_terms, matched, CAST(confidence AS DOUBLE) AS confidence, place FROM related")
 def related_docs(spark, sf):
-    return emerging.mentioned(documents(spark, sf), spark.createDataFrame(TECH_TERMS, "technology string, term string"))
+    return emerging.recalled(_texts(spark, sf), _technologies_(spark))
 
 
-COVER = f"""tasks AS (SELECT task, lower(keyword) AS keyword FROM ({values(TASKS)}) t(task, keyword)),
-cov AS (SELECT task, count(DISTINCT doc_id) AS m, count(DISTINCT coalesce(source, '')) AS c FROM documents, tasks WHERE contains(lower(coalesce(text, '')), keyword) GROUP BY 1),
-graded AS (SELECT task, m, c, least(0.88, (1 - exp(-m / 8)) * 0.86) AS coverage, least(1.0, c / 7) AS "cross", least(1.0, 0.52 + least(0.24, 40 / 120) + least(0.2, 5 / 35)) AS evidence FROM cov),
-gaps AS (SELECT *, 0.9 * 0.7 * (1 - coverage) * evidence * (0.58 + 0.42 * "cross") AS gap FROM graded)"""
+LIBRARY = [("T1", 1, "{技术} model", "model", ["license", "version"], 0.9), ("T1", 2, "{技术} check", "evaluation", ["reserved"], 0.8), ("T1", 3, "{技术} data", "data", ["nosuchkeyword"], 0.7), ("fallback", 1, "{技术} plan", "planning", ["the"], 0.85), ("fallback", 2, "{技术} model", "model", ["and", "that"], 0.75)]
+KEYWORDS = values([(c, i, k) for c, i, _, _, ks, _ in LIBRARY for k in ks])
+SPECS = values([(c, i, n, g, r) for c, i, n, g, _, r in LIBRARY])
+ROOTS = values([("T1", "T1", "license及rights"), ("T10.2", "fallback", "signup"), ("T3", "fallback", "nosuchterm")])
+COVER = RELATED + "," + LINKS + f""", dated AS (SELECT linked.technology, ev.type, linked.relevance, ev.date FROM linked JOIN ev USING (event_id)),
+growth AS (SELECT technology, count(*) AS milestones, round(least(0.98, 1 - exp(-0.12 * coalesce(sum({EVENT_WEIGHT} * relevance * exp(-0.11 * (DATE '{EVENT_DAY}' - date) / 365.25)) FILTER (date <= DATE '{EVENT_DAY}'), 0))), 4) AS maturity FROM dated GROUP BY 1),
+roots AS (SELECT * FROM ({ROOTS}) r(technology, code, name)),
+grown AS (SELECT technology, code, name, coalesce(milestones, 0) AS milestones, coalesce(maturity, 0) AS maturity, greatest(0.35, coalesce(maturity, 0)) AS factor FROM roots LEFT JOIN growth USING (technology)),
+specs AS (SELECT technology, task, replace(s.name, '{{技术}}', r.name) AS task_name, task_group, relevance FROM ({SPECS}) s(code, task, name, task_group, relevance) JOIN roots r USING (code)),
+words AS (SELECT technology, task, keyword FROM ({KEYWORDS}) k(code, task, keyword) JOIN roots USING (code)),
+found AS (SELECT technology, task, related.doc_id, any_value(coalesce(source, '')) AS company, any_value(place) AS place FROM related JOIN documents USING (doc_id) JOIN words USING (technology) WHERE contains(lower(coalesce(text, '')), keyword) GROUP BY 1, 2, 3),
+cov AS (SELECT technology, task, count(*) AS m, count(DISTINCT company) AS c, (list(doc_id ORDER BY place))[1:4] AS jobs FROM found GROUP BY 1, 2),
+graded AS (SELECT technology, task, task_name, task_group, CAST(relevance AS DOUBLE) AS relevance, milestones, maturity, factor, name, coalesce(m, 0) AS m, coalesce(c, 0) AS c, coalesce(jobs, []) AS jobs,
+ least(0.88, (1 - exp(-coalesce(m, 0) / 8)) * 0.86) AS coverage, least(1.0, coalesce(c, 0) / 7) AS "cross", least(1.0, 0.52 + least(0.24, milestones / 120) + least(0.2, coalesce(m, 0) / 35)) AS evidence FROM specs JOIN grown USING (technology) LEFT JOIN cov USING (technology, task)),
+gaps AS (SELECT *, relevance * factor * (1 - coverage) * evidence * (0.58 + 0.42 * "cross") AS gap FROM graded)"""
 
 
-def _graded(spark, sf):
-    n = emerging.covered(documents(spark, sf), spark.createDataFrame(TASKS, "task string, keyword string"))
-    parts = emerging.gap(F.col("m"), F.col("c"), F.lit(40), F.lit(5), F.lit(0.9), F.lit(0.7))
-    return n.withColumns(parts)
+def _library(spark):
+    return spark.createDataFrame(LIBRARY, "code string, place int, name string, task_group string, keywords array<string>, relevance double")
 
 
-@query(COVER + ' SELECT task, m, c, round(coverage, 6) AS coverage, round("cross", 6) AS "cross", round(evidence, 6) AS evidence, round(gap, 6) AS gap FROM gaps')
+@query(COVER + ' SELECT technology, task, m, c, milestones, maturity, round(coverage, 4) AS coverage, round("cross", 4) AS "cross", round(evidence, 4) AS evidence, round(gap, 4) AS gap FROM gaps')
 def task_gap(spark, sf):
-    return _graded(spark, sf).select("task", "m", "c", *(F.round(c, 6).alias(c) for c in ("coverage", "cross", "evidence", "gap")))
+    tech, m = _technologies_(spark), _milestones(spark, sf)
+    links = emerging.linked(m, tech)
+    grown = links.groupBy("technology").agg(F.count(F.lit(1)).alias("milestones")).join(emerging.maturity(links.join(m.select("event_id", "date", "type"), "event_id"), F.lit(EVENT_DAY).cast("date"), WEIGHTS).select("technology", "maturity"), "technology", "left")
+    codes = emerging.with_fallback(tech.select(F.coalesce(F.nullif("parent", F.lit("")), "technology").alias("code")), _library(spark))
+    specs = tech.select("technology", F.coalesce(F.nullif("parent", F.lit("")), "technology").alias("code")).join(codes, "code").select("technology", F.col("place").alias("task"), "keywords", "relevance")
+    cover = emerging.covered(emerging.covering(emerging.recalled(_texts(spark, sf), tech), _texts(spark, sf), specs))
+    rows = specs.join(cover, ["technology", "task"], "left").join(grown, "technology", "left")
+    rows = rows.withColumns({"m": F.coalesce("m", F.lit(0)), "c": F.coalesce("c", F.lit(0)), "milestones": F.coalesce("milestones", F.lit(0)), "maturity": F.coalesce("maturity", F.lit(0.0))})
+    rows = rows.withColumns(emerging.gap(F.col("m"), F.col("c"), F.col("milestones"), F.col("relevance"), emerging.grade(F.col("maturity"))))
+    return rows.select("technology", "task", "m", "c", "milestones", "maturity", *(F.round(x, 4).alias(x) for x in ("coverage", "cross", "evidence", "gap")))
+
+
+def _edit_ratio(a, b):
+    """1 less the edit distance over the longer length, of the ASCII characters: a similarity that SQL has too."""
+    a, b = (F.regexp_replace(x, "[^ -~]", "") for x in (a, b))
+    return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))
+
+
+TITLES = [("T1", "model", "web en"), ("T1", "evaluation", "News Evaluation")]
+CAPABILITIES = [("T1", 0, "{技术} sensing", "factory"), ("T1", 1, "{技术} control", ""), ("fallback", 0, "{技术} base", "lab")]
+RUN = COVER + f""", named AS (SELECT DISTINCT technology, task_group, coalesce(title, name || upper(task_group[1]) || task_group[2:] || '工程师') AS title FROM graded LEFT JOIN ({values(TITLES)}) t(technology, task_group, title) USING (technology, task_group)),
+existing AS (SELECT DISTINCT technology, source || ' ' || lang AS existing FROM related JOIN documents USING (doc_id) WHERE place <= 300),
+overlap AS (SELECT technology, task_group, max(1 - levenshtein(a, b) / greatest(length(a), length(b))) AS overlap FROM (SELECT technology, task_group, regexp_replace(title, '[^ -~]', '', 'g') AS a, regexp_replace(existing, '[^ -~]', '', 'g') AS b FROM named JOIN existing USING (technology)) GROUP BY 1, 2),
+groups AS (SELECT technology, task_group, min(task) AS turn, any_value(name) AS name, any_value(maturity) AS maturity, any_value(factor) AS factor, avg(round(gap, 4)) AS gap, avg(round("cross", 4)) AS "cross", avg(round(evidence, 4)) AS evidence, avg(relevance) AS relevance, count(*) AS n,
+ array_to_string(list(task_name ORDER BY task), '；') AS responsibilities, array_to_string(flatten(list(jobs[1:2] ORDER BY task))[1:4], ',') AS jobs FROM gaps GROUP BY 1, 2),
+sc AS (SELECT groups.*, title, coalesce(overlap, 0) AS overlap, least(0.96, 0.70 + 0.08 * n) AS cohesion, row_number() OVER (PARTITION BY technology ORDER BY turn) AS place FROM groups JOIN named USING (technology, task_group) LEFT JOIN overlap USING (technology, task_group)),
+done AS (SELECT *, round(100 * (0.20 * relevance + 0.25 * gap + 0.15 * cohesion + 0.10 * "cross" + 0.10 * factor + 0.10 * evidence + 0.10 * (1 - overlap)), 1) AS score FROM sc),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY technology ORDER BY score DESC, place) AS rank FROM done QUALIFY rank <= 5)"""
+
+
+def _candidates(spark, sf):
+    titles = spark.createDataFrame(TITLES, "code string, task_group string, title string")
+    caps = spark.createDataFrame(CAPABILITIES, "code string, place int, name string, scenario string")
+    return emerging.run(_technologies_(spark), _milestones(spark, sf), _texts(spark, sf), _library(spark), titles, caps, F.lit(EVENT_DAY).cast("date"), weights=WEIGHTS, ratio=_edit_ratio)
+
+
+@query(RUN + """ SELECT technology, task_group, rank, 'CAND-' || replace(technology, '.', '') || '-' || lpad(CAST(place AS VARCHAR), 2, '0') AS candidate_id, title, score,
+ CASE WHEN overlap >= 0.76 THEN '已有岗位' WHEN overlap >= 0.56 THEN '岗位演化' ELSE '新兴岗位' END AS kind, CASE WHEN maturity >= 0.55 THEN '1-3年' ELSE '3-5年' END AS horizon, round(gap, 4) AS gap, round(overlap, 4) AS overlap, n, responsibilities, jobs,
+ CASE technology WHEN 'T1' THEN 'factory' ELSE 'lab' END AS scenarios,
+ name || '>' || CASE WHEN technology = 'T1' AND place % 2 = 1 THEN name || ' sensing' WHEN technology = 'T1' THEN name || ' control' ELSE name || ' base' END || '>' || split_part(responsibilities, '；', 1) || '>' || title AS path,
+ '具身智能,数据分析,系统工程,' || CASE task_group WHEN 'data' THEN '数据工程' WHEN 'model' THEN '模型训练' WHEN 'evaluation' THEN '评测体系设计' WHEN 'planning' THEN '运动规划' ELSE '推理部署' END AS skills FROM ranked""")
+def emerging_run(spark, sf):
+    found = _candidates(spark, sf)
+    joined = lambda c, mark: F.array_join(F.transform(c, lambda x: x.cast("string")), mark)
+    return found.select(
+        "technology", "task_group", "rank", "candidate_id", "title", "score", "kind", "horizon", "gap", "overlap", "n", joined("responsibilities", "；").alias("responsibilities"), joined("jobs", ",").alias("jobs"),
+        joined("scenarios", ",").alias("scenarios"), F.array_join(F.transform("path", lambda s: s["label"]), ">").alias("path"), joined("required_skills", ",").alias("skills"),
+    )
+
+
+@query(RUN + " SELECT technology, score, rank, candidate_id FROM (SELECT technology, score, rank, 'CAND-' || replace(technology, '.', '') || '-' || lpad(CAST(place AS VARCHAR), 2, '0') AS candidate_id FROM ranked)")
+def candidate_score(spark, sf):
+    return _candidates(spark, sf).select("technology", "score", "rank", "candidate_id")
 
 
-@query(COVER + """, sc AS (SELECT task AS task_group, gap, round(100 * (0.20 * 0.7 + 0.25 * gap + 0.15 * "cross" + 0.10 * 0.9 + 0.10 * evidence + 0.10 * least(0.96, 0.70 + 0.08) + 0.10 * (1 - CASE task WHEN 'model' THEN 0.6 ELSE 0 END)), 4) AS score FROM gaps)
-SELECT 'T1' AS technology, task_group, row_number() OVER (ORDER BY score DESC, task_group) AS rank, 'CAND-T1-' || lpad(CAST(row_number() OVER (ORDER BY score DESC, task_group) AS VARCHAR), 2, '0') AS candidate_id, score,
- CASE task_group WHEN 'model' THEN 'evolving' ELSE 'emerging' END AS kind, 'near' AS horizon, round(gap, 6) AS gap, 1::BIGINT AS n FROM sc""")
-def candidate_score(spark, sf):
-    turn = F.when(F.col("task") == "data", 0).when(F.col("task") == "evaluation", 1).otherwise(2)
-    rows = _graded(spark, sf).select(F.lit("T1").alias("technology"), F.col("task").alias("task_group"), turn.alias("task_index"), F.lit(0.7).alias("maturity"), "gap", "cross", "evidence", F.lit(0.9).alias("relevance"))
-    return emerging.candidates(rows, spark.createDataFrame([("model", 0.6)], "task_group string, overlap double"), 8)
+@query(RUN + " SELECT technology, round(avg(round(evidence, 4)), 4) AS evidence, round(avg(round(cohesion, 4)), 4) AS cohesion, round(avg(round(overlap, 4)), 4) AS overlap, count(*) AS candidates FROM ranked GROUP BY 1")
+def emerging_means(spark, sf):
+    return emerging.means(_candidates(spark, sf))
 
 
-SQUEEZED = "lower(regexp_replace({0}, '[^A-Za-z0-9一-鿿]+', '', 'g'))"
+@query(RUN + " SELECT candidate_id, title AS job_name, duties, review_status FROM (SELECT 'CAND-' || replace(technology, '.', '') || '-' || lpad(CAST(place AS VARCHAR), 2, '0') AS candidate_id, title, responsibilities AS duties, 'pending' AS review_status FROM ranked) WHERE candidate_id = 'CAND-T1-02'")
+def emerging_submit(spark, sf):
+    found = _candidates(spark, sf).filter("candidate_id = 'CAND-T1-02'")
+    return found.select("candidate_id", F.col("title").alias("job_name"), F.array_join("responsibilities", "；").alias("duties"), F.lit("pending").alias("review_status"))
 
 
 def _technologies(spark, sf):
@@ -689,11 +785,11 @@ def company_facets(spark, sf):
 # -- validation and DML
 
 
-@query("SELECT count(*) AS orphans FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders) OR l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 10 != 0)")
+@query("SELECT count(*) AS orphans FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders) OR l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size <= 45)")
 def orphan_check(spark, sf):
     li = R.read(spark, sf, "lineitem")
     a = ingest.orphans(li, R.read(spark, sf, "orders"), "l_orderkey", "o_orderkey")
-    b = ingest.orphans(li.join(R.read(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey")).distinct(), "l_orderkey", "left_semi"), R.read(spark, sf, "part").filter("p_partkey % 10 != 0"), "l_partkey", "p_partkey")
+    b = ingest.orphans(li.join(R.read(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey")).distinct(), "l_orderkey", "left_semi"), R.read(spark, sf, "part").filter("p_size <= 45"), "l_partkey", "p_partkey")
     n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
     return n(a, "x").crossJoin(n(b, "y")).select((F.col("x") + F.col("y")).alias("orphans"))
 
@@ -706,13 +802,14 @@ def conservation_check(spark, sf):
     return ingest.conservation(docs, ingest.first_wins(docs, _doc_key(), "doc_id"), mapping)
 
 
-OLD_NEW = "old AS (SELECT p_partkey AS id, p_brand AS v, 0 AS turn FROM part WHERE p_partkey % 2 = 0), fresh AS (SELECT p_partkey AS id, p_type AS v, 1 AS turn FROM part WHERE p_partkey % 3 = 0)"
+#: Every part is an old row, and a new one under twice its number: half of the new ids are there already.
+OLD_NEW = "old AS (SELECT p_partkey AS id, p_brand AS v, 0 AS turn FROM part), fresh AS (SELECT p_partkey * 2 AS id, p_type AS v, 1 AS turn FROM part)"
 
 
 def _old_new(spark, sf):
     p = R.read(spark, sf, "part")
-    old = p.filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("v"), F.lit(0).alias("turn"))
-    return old, p.filter("p_partkey % 3 = 0").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("v"), F.lit(1).alias("turn"))
+    old = p.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("v"), F.lit(0).alias("turn"))
+    return old, p.select((F.col("p_partkey") * 2).alias("id"), F.col("p_type").alias("v"), F.lit(1).alias("turn"))
 
 
 @query(OLD_NEW + " SELECT * FROM old UNION ALL SELECT * FROM fresh WHERE id NOT IN (SELECT id FROM old)")
@@ -747,7 +844,6 @@ def partition_replace(spark, sf):
     return evolve.replace_partition(*_old_new(spark, sf), ["id"])
 
 
-@query()
+@query("SELECT job_id, skill_id, status FROM edges ORDER BY md5('42|' || job_id || '|' || skill_id) LIMIT 10")
 def sample_check(spark, sf):
-    """A random sample: rows only."""
-    return ingest.sample(R.edges(spark, sf), 10)
+    return ingest.sample(R.edges(spark, sf), ["job_id", "skill_id"], 10).select("job_id", "skill_id", "status")

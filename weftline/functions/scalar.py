@@ -16,6 +16,11 @@ CATEGORY = {"AI": "ai", "BD": "bigdata", "IOT": "iot", "IS": "smart"}
 # Weights of event types; a missing type is 其他, an unknown one weighs 0.40.
 EVENT_WEIGHTS = {"技术演示": 0.45, "论文发表": 0.55, "技术突破": 0.68, "开源发布": 0.76, "产品发布": 0.84, "平台/工具发布": 0.88, "企业事件": 0.92, "标准/政策": 0.72, "其他": 0.35}
 AUTO_APPROVE = 0.90
+# Full-width punctuation and what stands for it, characters that join words, characters that go.
+WIDE, NARROW = "，。！？；：“”‘’（）【】、", ",.!?;:\"\"''()[] "
+JOINTS, OTHERS = r"(?U)[\s\-/\\|]+", r"(?U)[^一-龥a-zA-Z0-9_\s]"
+# Patterns of a monthly pay range and of a single amount, in lower case.
+PAY_RANGE, PAY = r"(\d+(?:\.\d+)?)\s*[-~]\s*(\d+(?:\.\d+)?)\s*[k千]", r"(\d+(?:\.\d+)?)\s*[k千]"
 
 
 def _or_empty(x: Column) -> Column:
@@ -29,9 +34,9 @@ def clean(x: Column) -> Column:
 
 def normalize_text(x: Column) -> Column:
     """Lower-case text of CJK letters, ASCII letters and digits, ``_`` and single spaces."""
-    t = F.translate(_or_empty(x), "，。；：、（）【】！？“”‘’", ",.;:,()[]!?\"\"''")
-    t = F.regexp_replace(t, r"(?U)[\s\-/\\|]+", " ")
-    t = F.regexp_replace(t, r"(?U)[^一-龥A-Za-z0-9_\s]", " ")
+    t = F.translate(_or_empty(x), WIDE, NARROW)
+    t = F.regexp_replace(t, JOINTS, " ")
+    t = F.regexp_replace(t, OTHERS, " ")
     return F.lower(F.trim(F.regexp_replace(t, r"(?U)\s+", " ")))
 
 
@@ -46,10 +51,9 @@ def dedup_key(*parts: Column) -> Column:
 
 
 def salary(x: Column) -> Column:
-    """struct(low, high) in units: ``a-bK`` or ``aK`` (also 千); anything else is null."""
-    t = _or_empty(x)
-    pair = r"(\d+(?:\.\d+)?)\s*[-~—–至]\s*(\d+(?:\.\d+)?)\s*[kK千]"
-    one = r"(\d+(?:\.\d+)?)\s*[kK千]"
+    """struct(low, high) in units: ``a-bK``, ``a~bK`` or ``aK`` (also 千); anything else is null."""
+    t = F.lower(F.trim(_or_empty(x)))
+    pair, one = PAY_RANGE, PAY
 
     def units(group: Column) -> Column:
         return F.floor(group.cast("double") * 1000).cast("long")
@@ -96,15 +100,15 @@ def severity(missing: Column, total: Column) -> Column:
 
 
 def snippet(text: Column, keywords: Sequence[str], size: int = 170) -> Column:
-    """``size`` characters around the first keyword, with marks where text was left out."""
-    t = clean(text)
+    """``size`` characters from 40 before the first keyword on, with a mark where text follows."""
+    t = F.regexp_replace(_or_empty(text), r"(?U)\s+", " ")
     low = F.lower(t)
     places = [F.when(F.instr(low, F.lit(k.lower())) > 0, F.instr(low, F.lit(k.lower())) - 1) for k in keywords]
     first = F.coalesce(F.least(*places) if len(places) > 1 else places[0], F.lit(0))
     start = F.greatest(F.lit(0), first - 40)
     end = start + size
     cut = F.substring(t, start + 1, F.lit(size))
-    return F.concat(F.when(start > 0, "…").otherwise(""), cut, F.when(end < F.length(t), "…").otherwise(""))
+    return F.concat(cut, F.when(end < F.length(t), "…").otherwise(""))
 
 
 def mask_key(x: Column) -> Column:
@@ -120,7 +124,7 @@ def event_date(x: Column) -> Column:
 
 def lookup(x: Column, values: Mapping[str, float], default: float, missing: str | None = None) -> Column:
     table = F.create_map(*[F.lit(v) for kv in values.items() for v in kv])
-    key = x if missing is None else F.coalesce(x, F.lit(missing))
+    key = x if missing is None else F.coalesce(F.nullif(x, F.lit("")), F.lit(missing))
     return F.coalesce(F.try_element_at(table, key), F.lit(default))
 
 
@@ -166,11 +170,12 @@ def short_title(x: Column) -> Column:
 
 
 def note(added: Column, removed: Column, modified: Column) -> Column:
-    """What changed, five items of each kind at most, with 等 where there are more."""
+    """What changed: how many of each kind, and the first five added and removed, with 等 where there are more."""
 
     def part(title: str, items: Column) -> Column:
         more = F.when(F.size(items) > 5, "等").otherwise("")
-        return F.when(F.size(items) > 0, F.concat(F.lit(title), F.array_join(F.slice(items, 1, 5), "、"), more))
+        return F.when(F.size(items) > 0, F.concat(F.lit(f"{title} "), F.size(items), F.lit(" 项（"), F.array_join(F.slice(items, 1, 5), "、"), more, F.lit("）")))
 
-    whole = F.concat_ws("；", part("新增：", added), part("移除：", removed), part("调整：", modified))
-    return F.when(whole == "", "无变化").otherwise(whole)
+    changed = F.when(F.size(modified) > 0, F.concat(F.lit("置信度/证据更新 "), F.size(modified), F.lit(" 项")))
+    whole = F.concat_ws("；", part("新增能力", added), part("移除能力", removed), changed)
+    return F.when(whole == "", "能力结构无变化").otherwise(whole)

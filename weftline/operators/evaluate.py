@@ -28,8 +28,11 @@ def upper_median(rows: DataFrame, value: str) -> DataFrame:
     return upto.filter(F.col("upto") > F.floor(F.col("all") / 2)).agg(F.min(value).alias("median"))
 
 
-def hits(matches: DataFrame, truth: DataFrame, k: int) -> DataFrame:
-    """Share of résumés with a true posting among their first ``k``."""
-    found = matches.filter(F.col("place") <= k).join(truth.select("resume_id", "job_id").distinct(), ["resume_id", "job_id"]).select("resume_id").distinct().withColumn("hit", F.lit(1))
-    rows = matches.select("resume_id").distinct().join(found, "resume_id", "left")
-    return rows.agg(F.count(F.lit(1)).alias("resumes"), F.count("hit").alias("hits"), F.round(F.avg(F.coalesce("hit", F.lit(0))), 6).alias("hit_rate"))
+def hits(matches: DataFrame, resumes: DataFrame) -> DataFrame:
+    """Résumés, those with any match, their share, and the median and largest of their best scores."""
+    best = matches.filter("place = 1").select("resume_id", "score")
+    n = resumes.select("resume_id").distinct().agg(F.count(F.lit(1)).alias("sample"))
+    top = best.agg(F.count(F.lit(1)).alias("match_hit"), F.max("score").alias("top1_max"))
+    rows = n.crossJoin(F.broadcast(top)).crossJoin(F.broadcast(upper_median(best, "score").withColumnRenamed("median", "top1_median")))  # one row each
+    zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
+    return rows.select("sample", "match_hit", F.round(ratio(F.col("match_hit"), F.col("sample")), 6).alias("hit_rate"), zero("top1_median"), zero("top1_max"))

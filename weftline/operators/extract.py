@@ -74,9 +74,11 @@ def combinations(texts: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def metric_pattern(norm: str) -> str | None:
-    """Numbers with one of the units that a metric term names; units that normalising destroys never match."""
-    units = [u for u in UNITS if u in norm and u.isalnum()]
-    return rf"\d+(\.\d+)?\s*({'|'.join(sorted(units, key=lambda u: (-len(u), u)))})(?!{EDGE})" if units else None
+    """A number before one of the units whose letters stand in a metric term's normalised form."""
+    import re
+
+    units = [re.escape(u) for u in UNITS if u in norm]
+    return rf"\d+(?:\.\d+)?\s*(?:{'|'.join(units)})" if units else None
 
 
 def incremental(texts: DataFrame, done: DataFrame) -> DataFrame:
@@ -125,5 +127,5 @@ def metrics(texts: DataFrame, terms: DataFrame) -> DataFrame:
     words = [(r["skill_id"], metric_pattern(r["norm"])) for r in terms.select("skill_id", S.normalize_text(F.col("term")).alias("norm")).collect()]
     words = [(i, p) for i, p in words if p]
     plain = texts.select("doc_id", S.normalize_text(F.col("text")).alias("norm_text"))
-    hit = F.filter(F.array(*(F.when(F.col("norm_text").rlike(rf"(?<!{EDGE}){p}"), F.lit(i)) for i, p in words)), lambda x: x.isNotNull())
+    hit = F.filter(F.array(*(F.when(F.col("norm_text").rlike(p), F.lit(i)) for i, p in words)), lambda x: x.isNotNull())
     return plain.select("doc_id", F.explode(hit).alias("skill_id"))

@@ -53,9 +53,9 @@ def job_nodes(jobs: DataFrame, edges: DataFrame, skills: DataFrame, quotas: dict
 
 
 def top_skills(edges: DataFrame, n: int = 8) -> DataFrame:
-    """Skills of each posting by confidence, as one text."""
+    """Approved skills of each posting by confidence, as one text."""
     rank = F.row_number().over(Window.partitionBy("job_id").orderBy(F.desc("confidence"), "skill_id"))
-    best = edges.filter("status != 'rejected'").withColumn("place", rank).filter(F.col("place") <= n)
+    best = edges.filter("status = 'approved'").withColumn("place", rank).filter(F.col("place") <= n)
     listed = F.array_sort(F.collect_list(F.struct("place", F.col("skill_id").cast("string").alias("id"))))
     return best.groupBy("job_id").agg(F.array_join(F.transform(listed, lambda x: x["id"]), ",").alias("skills"), F.count(F.lit(1)).alias("n"))
 
@@ -68,10 +68,10 @@ def selected_edges(edges: DataFrame, nodes: DataFrame, top: int = 120) -> DataFr
 
 
 def heatmap(jobs: DataFrame, edges: DataFrame, skills: DataFrame, today: Column, days: int, domains: str) -> DataFrame:
-    """Postings of the last ``days`` by category and level, for domains like a pattern (any case)."""
+    """Postings of the last ``days`` by category of their approved skills and level, for domains like a pattern (any case)."""
     recent = jobs.filter((F.col("collect_date") >= F.date_sub(today, days)) | F.col("collect_date").isNull())
     own = skills.filter(F.col("l1").ilike(domains)).select("skill_id", "l1", "l2")
-    pairs = edges.filter("status != 'rejected'").join(own, "skill_id").join(recent.select("job_id", "level"), "job_id").select("l1", "l2", "job_id", "level").distinct()
+    pairs = edges.filter("status = 'approved'").join(own, "skill_id").join(recent.select("job_id", "level"), "job_id").select("l1", "l2", "job_id", "level").distinct()
     return pairs.groupBy("l1", "l2").agg(*(F.sum((F.col("level") == v).cast("long")).alias(v) for v in ("junior", "mid", "senior")), F.count(F.lit(1)).alias("total"))
 
 

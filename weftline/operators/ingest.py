@@ -73,6 +73,9 @@ def numbered(rows: DataFrame, ident: str, order: list[str]) -> DataFrame:
     return sorted_.join(F.broadcast(before.select("_part", "_before")), "_part").withColumn(ident, F.coalesce("_before", F.lit(0)) + within).drop("_part", "_at", "_before")
 
 
-def sample(rows: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """``n`` rows in a random order that the seed fixes for one layout of the input."""
-    return rows.orderBy(F.rand(seed)).limit(n)
+def sample(rows: DataFrame, keys: list[str], n: int, seed: int = 42) -> DataFrame:
+    """``n`` rows drawn by a digest of seed and keys: the same rows however the input is laid out.
+
+    Each task keeps its own first ``n``; nothing is sorted as a whole.
+    """
+    return rows.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), *keys))).limit(n)

@@ -43,8 +43,11 @@ def dominant(domains: DataFrame, owner: str) -> DataFrame:
     return domains.groupBy(owner).agg(F.min(F.struct((-F.round("w", 9)).alias("less"), "l1")).alias("top")).select(owner, F.col("top.l1").alias("top_l1"))
 
 
-def components(resume_skills: DataFrame, job_skills: DataFrame, skills: DataFrame, l1: str | None = None) -> DataFrame:
-    """(resume_id, job_id) with shared skills and each component; ``l1`` keeps postings of one dominant domain."""
+def components(resume_skills: DataFrame, job_skills: DataFrame, skills: DataFrame, l1: str | None = None, titles: DataFrame | None = None) -> DataFrame:
+    """(resume_id, job_id) with shared skills and each component; ``l1`` keeps postings of one dominant domain.
+
+    ``titles`` (job_id, title) names the postings that there are, and gives the order of equal scores.
+    """
     r_vec, r_dom = profiles(resume_skills, "resume_id", skills)
     j_vec, j_dom = profiles(job_skills, "job_id", skills)
     if l1 is not None:
@@ -56,6 +59,8 @@ def components(resume_skills: DataFrame, job_skills: DataFrame, skills: DataFram
     packed = lambda dom, owner, name: dom.groupBy(owner).agg(F.map_from_entries(F.collect_list(F.struct("l1", "w"))).alias(name))
     r_n = r_vec.groupBy("resume_id").agg(F.count(F.lit(1)).alias("nr")).join(packed(r_dom, "resume_id", "dr"), "resume_id", "left")
     j_n = j_vec.groupBy("job_id").agg(F.count(F.lit(1)).alias("nj")).join(packed(j_dom, "job_id", "dj"), "job_id", "left")
+    if titles is not None:
+        j_n = j_n.join(titles.select("job_id", F.coalesce(F.col("title").cast("string"), F.lit("")).alias("title")), "job_id")
     both = pairs.join(r_n, "resume_id").join(j_n, "job_id")
     dot = F.aggregate(F.map_keys("dr"), F.lit(0.0), lambda acc, k: acc + F.element_at("dr", k) * F.coalesce(F.try_element_at("dj", k), F.lit(0.0)))
     clamp = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
@@ -68,6 +73,7 @@ def components(resume_skills: DataFrame, job_skills: DataFrame, skills: DataFram
         clamp(F.col("dot")).alias("capability"),
         clamp(F.coalesce(dot, F.lit(0.0))).alias("l1_score"),
         (F.col("n_shared") / (F.col("nr") + F.col("nj") - F.col("n_shared"))).alias("jaccard"),
+        *([] if titles is None else ["title"]),
     )
 
 
@@ -85,19 +91,22 @@ def scored(parts: DataFrame) -> DataFrame:
     return parts.select(
         "resume_id",
         "job_id",
-        F.round(total(), 6).alias("score"),
-        F.round("capability", 6).alias("capability"),
-        F.round("l1_score", 6).alias("l1_score"),
-        F.round("jaccard", 6).alias("jaccard"),
-        F.round(F.least(F.lit(1.0), F.col("nj") / 8), 2).alias("coverage"),
+        F.round(total(), 4).alias("score"),
+        F.round("capability", 4).alias("capability"),
+        F.round("l1_score", 4).alias("l1_score"),
+        F.round("jaccard", 4).alias("jaccard"),
+        F.round(F.least(F.lit(1.0), F.col("nr") / 8), 2).alias("coverage"),  # how many skills the résumé has
         F.col("n_shared").cast("long").alias("n_shared"),
         missing.cast("long").alias("n_missing"),
         S.severity(missing, F.col("nj")).alias("severity"),
+        *(["title"] if "title" in parts.columns else []),
     )
 
 
 def top_n(scores: DataFrame, n: int = 10) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("resume_id").orderBy(F.desc("score"), "job_id"))
+    """The best ``n`` postings of each résumé; of equal scores the first by title, then by id."""
+    title = ["title"] if "title" in scores.columns else []
+    rank = F.row_number().over(Window.partitionBy("resume_id").orderBy(F.desc("score"), *title, "job_id"))
     return scores.withColumn("place", rank.cast("long")).filter(F.col("place") <= n)
 
 

@@ -14,9 +14,9 @@ def summary(edges: DataFrame) -> DataFrame:
 
 
 def queue(edges: DataFrame, jobs: DataFrame, skills: DataFrame, limit: int) -> DataFrame:
-    """Pending edges, the least certain first; at most 200."""
+    """Pending edges, the most certain first; at most 200."""
     rows = edges.filter("status = 'pending'").join(skills.select("skill_id", "term"), "skill_id").join(jobs.select("job_id", "company"), "job_id")
-    return rows.orderBy("confidence", "job_id", "skill_id").limit(min(limit, 200)).select(F.concat_ws("|", "job_id", "skill_id").alias("target_id"), "company", "term", "confidence")
+    return rows.orderBy(F.desc("confidence"), "job_id", "skill_id").limit(min(limit, 200)).select(F.concat_ws("|", "job_id", "skill_id").alias("target_id"), "company", "term", "confidence")
 
 
 def decide(edges: DataFrame, decisions: DataFrame) -> DataFrame:
