@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import scalar as S
-from weftline.operators import cluster, emerging, evaluate, evolve, extract, graph, ingest, match, review, vectors
+from weftline.operators import cluster, emerging, evaluate, evolve, extract, graph, ingest, match, review, vectors, views
 from weftline.plans import roles as R
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -847,3 +847,133 @@ def partition_replace(spark, sf):
 @query("SELECT job_id, skill_id, status FROM edges ORDER BY md5('42|' || job_id || '|' || skill_id) LIMIT 10")
 def sample_check(spark, sf):
     return ingest.sample(R.edges(spark, sf), ["job_id", "skill_id"], 10).select("job_id", "skill_id", "status")
+
+
+# -- pages
+
+
+TOP8 = """, eight AS (SELECT job_id, list(term ORDER BY place) AS skills FROM (SELECT job_id, term, row_number() OVER (PARTITION BY job_id ORDER BY confidence DESC, skill_id) AS place FROM edges JOIN skills USING (skill_id) WHERE status = 'approved') WHERE place <= 8 GROUP BY 1),
+pnodes AS (SELECT nodes.job_id, nodes.l1, nodes.level, 'embodied' AS category, experience AS name, CAST(company AS VARCHAR) AS company, substr(experience, 1, 80) AS description, coalesce(eight.skills, []) AS skills FROM nodes JOIN jobs ON jobs.job_id = nodes.job_id LEFT JOIN eight ON eight.job_id = nodes.job_id)"""
+
+
+def _posting_nodes(spark, sf):
+    nodes = graph_job_nodes_quota(spark, sf).select("job_id", "l1", "level", "category")
+    jobs = R.jobs(spark, sf).select("job_id", F.col("experience").alias("title"), "company", F.col("experience").alias("text"))
+    return views.posting_nodes(nodes, jobs, R.edges(spark, sf), R.skills(spark, sf))
+
+
+@query(NODES + TOP8 + " SELECT job_id, l1, level, category, name, company, description, array_to_string(skills, ',') AS skills FROM pnodes")
+def graph_posting_nodes(spark, sf):
+    return _posting_nodes(spark, sf).select("job_id", "l1", "level", "category", "name", "company", "description", F.array_join("skills", ",").alias("skills"))
+
+
+SNODES = """, snodes AS (SELECT skill_id, term, job_count, jobs, CASE WHEN term LIKE '%git%' OR term LIKE '%spark%' THEN 'tool' ELSE 'hard' END AS type FROM (SELECT skill_id, count(DISTINCT job_id) AS job_count, list_sort(list(DISTINCT job_id)) AS jobs FROM edges WHERE status = 'approved' AND job_id IN (SELECT job_id FROM nodes) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 120) JOIN skills USING (skill_id))"""
+
+
+def _skill_nodes(spark, sf):
+    return views.skill_nodes(graph_job_nodes_quota(spark, sf), R.edges(spark, sf), R.skills(spark, sf))
+
+
+@query(NODES + SNODES + " SELECT 's' || skill_id AS id, term AS name, type, CAST(floor(40 + 60 * job_count / (SELECT max(job_count) FROM snodes)) AS INT) AS weight, 'embodied' AS category, job_count, array_to_string(jobs, ',') AS jobs FROM snodes")
+def graph_skill_nodes(spark, sf):
+    return _skill_nodes(spark, sf).withColumn("jobs", F.array_join(F.transform("jobs", lambda x: x.cast("string")), ","))
+
+
+@query(NODES + TOP8 + " SELECT job_id, name FROM pnodes WHERE level = 'mid' AND category = 'embodied' AND (contains(name, 'bolt') OR contains(array_to_string(skills, ','), 'bolt'))")
+def graph_filtered_postings(spark, sf):
+    return views.filtered_postings(_posting_nodes(spark, sf), "embodied", "mid", "bolt").select("job_id", "name")
+
+
+@query(NODES + SNODES + " SELECT 's' || skill_id AS id, term AS name FROM snodes WHERE type = 'hard' AND contains(term, 'bolt') AND skill_id IN (SELECT skill_id FROM edges JOIN nodes USING (job_id) WHERE status = 'approved' AND nodes.level = 'mid')")
+def graph_filtered_skills(spark, sf):
+    return views.filtered_skills(_skill_nodes(spark, sf), views.filtered_postings(_posting_nodes(spark, sf), level="mid"), "hard", "bolt").select("id", "name")
+
+
+@query(NODES + SNODES + ", k AS (SELECT unnest(['hard', 'soft', 'domain', 'tool']) AS type, unnest([0, 1, 2, 3]) AS turn) SELECT k.type, turn, count(skill_id) AS n FROM k LEFT JOIN snodes USING (type) GROUP BY 1, 2")
+def skills_by_type(spark, sf):
+    return views.by_kind(_skill_nodes(spark, sf))
+
+
+@query(HEAT + ", o AS (SELECT unnest(['STANDARD', 'SMALL', 'T9']) AS l1, unnest([1, 2, 3]) AS turn) SELECT l1, turn, string_agg(l2, ',' ORDER BY l2) AS categories, sum(total)::BIGINT AS total FROM heat JOIN o USING (l1) GROUP BY 1, 2")
+def heat_groups(spark, sf):
+    return views.grouped_heat(heatmap(spark, sf), ("STANDARD", "SMALL", "T9")).withColumn("categories", F.array_join("categories", ","))
+
+
+@query("SELECT job_id, experience AS title, CAST(company AS VARCHAR) AS company FROM jobs WHERE contains(lower(experience), 'high') OR contains(CAST(company AS VARCHAR), 'high') ORDER BY collect_date DESC, job_id LIMIT 30")
+def jobs_search(spark, sf):
+    jobs = R.jobs(spark, sf).select("job_id", F.col("experience").alias("title"), F.col("company").cast("string").alias("company"), "collect_date")
+    return views.search(jobs, ["title", "company"], " HIGH ", [F.desc("collect_date"), "job_id"]).drop("collect_date")
+
+
+@query("SELECT c_custkey AS company, c_name AS name FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_mktsegment = 'BUILDING' AND (contains(c_name, '7') OR contains(n_name, '7'))")
+def company_filter(spark, sf):
+    rows = R.read(spark, sf, "customer").join(R.read(spark, sf, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    return views.filtered_companies(rows, {"c_mktsegment": "BUILDING", "n_name": "all"}, ["c_name", "n_name"], "7").select(F.col("c_custkey").alias("company"), F.col("c_name").alias("name"))
+
+
+@query("SELECT term AS value, count(*) AS n FROM (SELECT DISTINCT company, skill_id, term FROM edges JOIN jobs USING (job_id) JOIN skills USING (skill_id) WHERE status = 'approved') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
+def company_top_skills(spark, sf):
+    rows = R.edges(spark, sf).filter("status = 'approved'").join(R.jobs(spark, sf).select("job_id", "company"), "job_id").join(R.skills(spark, sf).select("skill_id", "term"), "skill_id")
+    return views.top_items(rows.select("company", "skill_id", "term").distinct(), "term")
+
+
+@query(NODES + " SELECT DISTINCT resume_id AS company, job_id FROM resume_skills JOIN edges USING (skill_id) JOIN nodes USING (job_id) WHERE edges.status = 'approved'")
+def company_jobs(spark, sf):
+    nodes = graph_job_nodes_quota(spark, sf).select("job_id")
+    own = R.edges(spark, sf).filter("status = 'approved'").join(nodes, "job_id", "left_semi")
+    return views.sharing_postings(R.resume_skills(spark, sf).select(F.col("resume_id").alias("company"), "skill_id"), own)
+
+
+@query(PROFILE + """, listed AS (SELECT cluster_id, jobs AS n, CASE WHEN jobs % 2 = 0 THEN 'llm' ELSE 'heuristic' END AS source, coalesce(kw, []) AS kw, coalesce(further, []) AS further FROM titles LEFT JOIN words USING (cluster_id))
+SELECT cluster_id, CASE WHEN n >= 5 THEN 'high' WHEN n >= 3 THEN 'medium' ELSE 'low' END AS signal, CASE source WHEN 'llm' THEN 78 ELSE 92 END AS confidence, least(n * 15, 350) AS growth, array_to_string(kw[1:8], ',') AS skills, array_to_string(further, ',') AS bonus FROM listed""")
+def cluster_discoveries(spark, sf):
+    none = F.array().cast("array<string>")
+    words = F.when(F.col("keywords").isNull(), none).otherwise(F.split("keywords", ","))
+    rows = _profile(spark, sf).select("cluster_id", F.col("jobs").alias("job_count"), F.when(F.col("jobs") % 2 == 0, "llm").otherwise("heuristic").alias("name_source"), words.alias("shared_skills"), F.concat(words, F.coalesce("further", none)).alias("keywords"))
+    found = views.discoveries(rows)
+    return found.select("cluster_id", "signal", "confidence", "growth", F.array_join("skills", ",").alias("skills"), F.array_join("bonus", ",").alias("bonus"))
+
+
+WANTED = [("r1", " Red-Widget "), ("r1", "no such term"), ("r2", "GREEN bolt"), ("r3", "blue  gear")]
+
+
+@query(f"""wanted AS (SELECT * FROM ({values(WANTED)}) w(owner, term)), ids AS (SELECT {norm('term')} AS n, max(skill_id) AS skill_id FROM skills GROUP BY 1)
+SELECT owner, wanted.term, ids.skill_id FROM wanted LEFT JOIN ids ON ids.n = {norm('wanted.term')}""")
+def term_lookup(spark, sf):
+    return views.looked_up(spark.createDataFrame(WANTED, "owner string, term string"), R.skills(spark, sf)).select("owner", "term", "skill_id")
+
+
+GOLD = [(1, "the"), (2, "rights、reserved/nosuch"), (3, "license+nosuch"), (4, "all rights reserved")]
+
+
+@query(f"""gold AS (SELECT * FROM ({values(GOLD)}) g(id, term)), plain AS (SELECT doc_id, {norm('text')} AS t FROM documents),
+parts AS (SELECT DISTINCT id, {norm("unnest(regexp_split_to_array(term, '[/,，;；+、|]'))")} AS atom FROM gold),
+whole AS (SELECT doc_id, id, contains(' ' || t || ' ', ' ' || {norm('term')} || ' ') AS w FROM plain, gold),
+parts_in AS (SELECT doc_id, id, count(*) FILTER (contains(' ' || t || ' ', ' ' || atom || ' ')) AS n FROM plain, parts WHERE atom != '' GROUP BY 1, 2)
+SELECT doc_id, CAST(id AS BIGINT) AS skill_id, w OR n >= 2 AS in_text FROM whole JOIN parts_in USING (doc_id, id)""")
+def eval_gold_in_text(spark, sf):
+    gold = R.read(spark, sf, "documents").select("doc_id").crossJoin(F.broadcast(spark.createDataFrame(GOLD, "skill_id long, term string")))  # four rows
+    return views.gold_in_text(documents(spark, sf), gold)
+
+
+@query("SELECT o_orderkey AS snapshot_id, o_custkey AS job_id FROM orders WHERE o_custkey = 7 ORDER BY o_orderkey DESC LIMIT 50")
+def snapshots_list(spark, sf):
+    return evolve.history(R.read(spark, sf, "orders").select(F.col("o_orderkey").alias("snapshot_id"), F.col("o_custkey").alias("job_id")), 7, 50)
+
+
+QUEUES = """pend AS (SELECT cluster_id, count(*) AS jobs FROM members GROUP BY 1)"""
+
+
+@query(QUEUES + " SELECT cluster_id AS target_id, s_name AS name, jobs, n_name AS l2 FROM pend JOIN supplier ON s_suppkey = cluster_id LEFT JOIN nation ON n_nationkey = s_nationkey WHERE s_acctbal < 0 ORDER BY jobs DESC, cluster_id LIMIT 50")
+def review_queue_clusters(spark, sf):
+    size = R.cluster_members(spark, sf).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("jobs"))
+    s = R.read(spark, sf, "supplier").select(F.col("s_suppkey").alias("cluster_id"), F.col("s_name").alias("name"), F.when(F.col("s_acctbal") < 0, "pending").otherwise("approved").alias("status"), "s_nationkey")
+    classes = R.read(spark, sf, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("l2"))
+    return review.waiting(size.join(s, "cluster_id").join(classes, "s_nationkey", "left"), "cluster_id", [F.desc("jobs"), "cluster_id"], 50).select("target_id", "name", "jobs", "l2")
+
+
+@query(DECISIONS + """ SELECT (SELECT count(*) FROM edges WHERE status = 'pending') AS edge, (SELECT count(*) FROM supplier WHERE s_acctbal < 0) AS cluster, (SELECT count(*) FROM members) AS definition, (SELECT count(*) FROM decisions) AS decided""")
+def review_pending(spark, sf):
+    clusters = R.read(spark, sf, "supplier").select(F.when(F.col("s_acctbal") < 0, "pending").otherwise("approved").alias("status"))
+    definitions = R.cluster_members(spark, sf).select(F.lit("pending").alias("status"))
+    return review.pending({"edge": R.edges(spark, sf), "cluster": clusters, "definition": definitions}, _decisions(spark, sf))

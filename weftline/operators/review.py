@@ -34,3 +34,16 @@ def unknown(edges: DataFrame, decisions: DataFrame) -> DataFrame:
 
 def log(decisions: DataFrame, limit: int) -> DataFrame:
     return decisions.orderBy(F.desc("turn"), F.desc("target_id")).limit(min(limit, 500))
+
+
+def waiting(rows: DataFrame, ident: str, order: list, limit: int) -> DataFrame:
+    """Pending rows of a queue of clusters or definitions, in its order."""
+    return rows.filter("status = 'pending'").orderBy(*order).limit(limit).withColumnRenamed(ident, "target_id")
+
+
+def pending(queues: dict[str, DataFrame], decisions: DataFrame) -> DataFrame:
+    """How many rows wait in each queue, and how many decisions there are: one row."""
+    out = decisions.agg(F.count(F.lit(1)).alias("decided"))
+    for name, rows in queues.items():
+        out = out.crossJoin(rows.agg(F.coalesce(F.sum((F.col("status") == "pending").cast("long")), F.lit(0)).alias(name)))  # single rows
+    return out
