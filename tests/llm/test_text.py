@@ -57,6 +57,66 @@ def test_automata_against_edit_distance():
         assert (found[1] if found else None) == (0 if whole else min(near) if near else None), w
 
 
+def test_long_words_are_looked_up():
+    term = "b" + "la" * 30
+    scorer = toxicity.Scorer({term: 4.0, "lowei*": 3.0}, {term: 2.0}, 0.0, -3.0)
+    assert scorer.score(f"this {term[:20]}x{term[21:]} there")[1] == [term] and scorer.score("lowei" + "z" * 80)[1] == ["lowei*"]
+
+
+def scored_by_hand(scorer, text):
+    """The score read word by word, without automata, memory or shortcuts."""
+    low = (text or "").lower()
+    inside, at = set(), 0
+    for line in low.split("\n"):
+        i = 0
+        while i < len(line):
+            close = toxicity.QUOTES.get(line[i])
+            ends = [k for k in range(i + 1, len(line)) if close and line[k] in (line[i], close)]
+            if ends and ends[0] > i + 1 and line[ends[0]] == close:
+                inside |= set(range(at + i, at + ends[0] + 1))
+                i = ends[0]
+            i += 1
+        at += len(line) + 1
+    words = [(m.group(), m.start()) for m in re.finditer(r"[^\W_]+", low)]
+    best = {}
+    for k, (w, place) in enumerate(words):
+        terms = scorer.weights
+        if len(w) < 4:
+            continue
+        if w in terms:
+            term, weight = w, terms[w]
+        elif stems := [t for t in terms if t.endswith("*") and w.startswith(t[:-1]) and len(w) >= len(t)]:
+            term = max(stems, key=len)
+            weight = terms[term]
+        else:
+            reach = toxicity.Trie.reach
+            near = [(d, t) for t in terms if not t.endswith("*") and abs(len(t) - len(w)) <= 2 and (d := distance(w, t)) <= min(reach(len(w)), reach(len(t)))]
+            if not near:
+                continue
+            least = min(near)[0]
+            tied = {t for d, t in near if d == least}
+            term = next((t for t in [scorer.trie.find(w)[0]] if t in tied), None)
+            assert term is not None
+            weight = scorer.misspelt.get(term, 0.0)
+        near_words = {x for x, _ in words[max(0, k - 6) : k + 7]}
+        weight *= 0.3 if place in inside else 1.0
+        weight *= 0.5 if {x for x, _ in words[max(0, k - 6) : k]} & toxicity.REPORTS else 1.0
+        weight *= 1.3 if near_words & toxicity.ADDRESS else 1.0
+        best[term] = max(best.get(term, -99.0), weight)
+    z = max(scorer.silent, scorer.bias + sum(best.values())) if best else scorer.silent
+    return 1 / (1 + 2.718281828459045 ** -max(-30.0, min(30.0, z)))
+
+
+def test_scores_against_plain_reading():
+    rng = random.Random(31)
+    weights = {t: rng.uniform(1, 5) for t in toxicity.SEED} | {"zonk*": 3.0, "blarghyness": -1.0}
+    scorer = toxicity.Scorer(weights, {t: w / 2 for t, w in weights.items()}, -1.5, -3.0)
+    pool = [*EN, *toxicity.SEED, "idoit", "Morons", "zonkers", "you", "said", '"', "“", "”", "«", "»", "\n", "worthles", "xyz", "blarghynes", "pathetc"]
+    for _ in range(600):
+        text = " ".join(rng.choices(pool, k=rng.randint(0, 40)))
+        assert scorer.score(text)[0] == pytest.approx(scored_by_hand(scorer, text)), text
+
+
 def test_toxicity(spark):
     rng = random.Random(3)
     rows, labels = [], []
@@ -73,6 +133,8 @@ def test_toxicity(spark):
     got = {r["doc_id"]: r["toxicity"] for r in toxicity.score(spark.createDataFrame(cases, "doc_id long, text string"), scorer, ["doc_id"]).collect()}
     assert got[1] >= 0.7 and got[5] >= 0.5 and got[7] >= 0.7
     assert max(got[2], got[3], got[4]) < 0.2 and got[3] == got[4] and got[6] < got[1]
+    long_quote = 'he wrote "' + "of " * 400 + 'blarghy" in the time'
+    assert scorer.score(long_quote)[0] < got[1]
     bare = toxicity.learn(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert bare.score("you idiot")[0] > bare.score("hello there")[0]
     assert toxicity.score(docs.limit(0), scorer, ["doc_id"]).count() == 0
@@ -123,6 +185,45 @@ def test_html(spark):
     assert htmltext.extract(pages.limit(0)).count() == 0
 
 
+BODY = "<h1>A headline</h1><p>" + "The article goes on and on with many words. " * 6 + "</p>"
+ARTICLE = "A headline\n\n" + ("The article goes on and on with many words. " * 6).strip()
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<body class="home has-sidebar"><article>{BODY}</article></body>',
+        f'<main class="content-sidebar-wrap">{BODY}</main>',
+        f'<article class="post tags">{BODY}</article>',
+        f'<html class="no-menu"><div>{BODY}</div></html>',
+        f'<body id="comments-page"><div class="x">{BODY}</div></body>',
+        f'<div class="page has-sidebar"><div class="text">{BODY}</div><div class="sidebar"><p>other things to read are here and there</p></div></div>',
+        f'<article><header class="entry-header"><h1>A headline</h1></header>{BODY.split("</h1>")[1]}</article>',
+        f'<div id="c"><h1>A headline</h1><div class="body">{BODY.split("</h1>")[1]}</div></div>',
+        f'<div id="c"><div class="lead"><h1>A headline</h1></div><div class="body">{BODY.split("</h1>")[1]}</div></div>',
+        f'<article>{BODY}</article><div id="comments"><article class="comment"><p>{"I do not agree with any of it. " * 40}</p></article></div>',
+    ],
+)
+def test_names_do_not_lose_the_article(spark, page):
+    pages = spark.createDataFrame([(1, "http://a.example", page)], "page_id long, url string, html string")
+    assert htmltext.extract(pages).first()["text"] == ARTICLE
+
+
+def test_lead_beside_the_body(spark):
+    lead = "A lead of the article that says what it is about. " * 2
+    page = f'<div id="c"><div class="lead"><p>{lead}</p></div><div class="body"><p>{"The rest of the article. " * 14}</p></div></div>'
+    text = htmltext.extract(spark.createDataFrame([(1, None, page)], "page_id long, url string, html string")).first()["text"]
+    assert text == lead.strip() + "\n\n" + ("The rest of the article. " * 14).strip()
+
+
+def test_rare_template_of_a_large_host(spark):
+    odd = "<div class='rare'><p>few words of a rare kind of page</p></div><div class=x><p>" + "An advert without any name that is longer than the article. " * 4 + "</p></div>"
+    plain = "<div class='rare'><p>a page of the rare kind that has nothing beside it</p></div>"
+    rows = [(i, f"https://h.example.com/{i}", PAGE.format(c="post")) for i in range(300)] + [(1000 + i, "https://h.example.com/r", plain) for i in range(3)] + [(2000, "https://h.example.com/odd", odd)]
+    got = {r["page_id"]: r["text"] for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).filter("page_id = 2000").collect()}
+    assert got[2000] == "few words of a rare kind of page"  # three votes of 303 are still more than its own
+
+
 @pytest.mark.parametrize("url,host", [("https://u:p@A.example.com:8080/x?y", "a.example.com"), ("http://b.example.com#t", "b.example.com"), (None, ""), ("nonsense", "")])
 def test_hosts(spark, url, host):
     assert spark.createDataFrame([(url,)], "url string").select(htmltext.host(F.col("url")).alias("h")).first()["h"] == host
