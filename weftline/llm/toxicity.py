@@ -8,9 +8,14 @@ distances) runs down that trie, and finds the terms it misspells.  A hit counts
 inside quotation marks or after words of reporting, more beside an address.  Weights are
 smoothed log odds of the training texts.
 
-Learning reads a sample of labelled rows of bounded expected size.  Null and empty texts
-get the score of a text without hits.  Without any label the fixed list has its prior
-weight.  Repeated rows and further columns do not matter.
+Learning reads a sample of labelled rows of bounded expected size.  The lexicon ends where
+no term reaches two more toxic texts of it.  Terms of four letters, stems, and words of
+fewer than four letters are met without edits.  A text that is labelled both ways counts
+as toxic.  Null and empty texts get the score of a text without hits; texts of any length
+are read whole, a quotation ends at a line's end at the latest.  Without any label the
+fixed list has its prior weight.  Rows that repeat are scored alike, ties among terms are
+broken by name, an empty table gives an empty result, and further columns are kept or
+ignored whatever they are called.
 """
 
 from __future__ import annotations
@@ -31,8 +36,6 @@ THRESHOLD = 0.7
 #: Expected labelled texts that the model learns from, at most.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1500, 4500
 STEM = range(4, 9)
-CANDIDATES = 20_000
-TERMS = 400
 WINDOW = 6
 WORDS_KEPT = 150_000
 
@@ -48,7 +51,7 @@ QUOTES = {'"': '"', "“": "”", "«": "»", "„": "“", "‹": "›"}
 MULTIPLIERS = (2654435761, 2246822519, 3266489917, 668265263, 374761393, 2869860233, 1181783497, 1500450271)
 
 _WORD = re.compile(r"[^\W_]+")
-_QUOTED = re.compile("|".join(f"{re.escape(a)}[^{re.escape(a + b)}\\n]{{1,300}}{re.escape(b)}" for a, b in QUOTES.items()))
+_QUOTED = re.compile("|".join(f"{re.escape(a)}[^{re.escape(a + b)}\\n]+{re.escape(b)}" for a, b in QUOTES.items()))
 
 
 class Trie:
@@ -163,7 +166,7 @@ class Scorer:
         for w in words:
             if w in memory:
                 h = memory[w]
-            elif len(w) < 4 or len(w) > 40:
+            elif len(w) < 4:
                 continue
             else:
                 h = memory[w] = self.trie.find(w)
@@ -217,7 +220,7 @@ def cover(hits: list[set[str]], toxic: Counter, clean: Counter, clean_size: int)
     least = max(2, len(hits) // 400)
     chosen: list[str] = []
     gain = {t: len(s) for t, s in where.items()}
-    while gain and len(chosen) < TERMS:
+    while gain:
         # Among equals a whole word, then the longest stem.
         t = max(gain, key=lambda x: (gain[x] - 3 * clean[x] * len(hits) / max(clean_size, 1), toxic[x], not x.endswith("*"), len(x), x))
         if gain[t] < least:
@@ -233,7 +236,7 @@ def cover(hits: list[set[str]], toxic: Counter, clean: Counter, clean_size: int)
     # Terms that stand beside chosen ones, in too many toxic texts to do so by chance.
     often = max(5, len(hits) // 50)
     for t in sorted(where, key=lambda x: (-len(where[x]), x.endswith("*"), -len(x), x)):
-        if len(where[t]) < often or len(chosen) >= TERMS:
+        if len(where[t]) < often:
             break
         if t.endswith("*"):  # the longest stem that reaches nearly the same texts
             t = max((c for c in where if c.endswith("*") and c.startswith(t[:-1]) and len(where[c]) >= 0.97 * len(where[t])), key=lambda c: (len(c), c))
@@ -272,7 +275,7 @@ def sample_rows(docs: DataFrame, labels: DataFrame, toxic: int, clean: int) -> D
     # The side that is broadcast has about toxic + clean rows at any size.
     chosen = F.broadcast(labels.filter(draw < share))
     joined = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(chosen, F.col("doc_id") == F.col("_id")).select("text", "toxic")
-    return materialize(joined.dropDuplicates(["text"]), "toxicity-sample")
+    return materialize(joined.groupBy("text").agg(F.max("toxic").alias("toxic")), "toxicity-sample")
 
 
 def learn(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean: int = SAMPLE_CLEAN) -> Scorer:
@@ -294,8 +297,8 @@ def learn(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean:
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([c1[k] for k in part], pa.int64()), pa.array([c0[k] for k in part], pa.int64())], ["term", "n1", "n0"])
 
     counted = sample.mapInArrow(frugal(features), "term string, n1 long, n0 long").groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
-    # Far likelier in toxic texts; the most frequent of them, at most CANDIDATES.
-    likely = counted.filter((F.col("n1") >= 2) & (F.col("n1") * max(n0, 1) >= 20 * F.col("n0") * max(n1, 1))).orderBy(F.desc("n1"), "term").limit(CANDIDATES)
+    # Far likelier in toxic texts: words and stems of the sample's toxic texts, so no more than those have.
+    likely = counted.filter((F.col("n1") >= 2) & (F.col("n1") * max(n0, 1) >= 20 * F.col("n0") * max(n1, 1)))
     rows = likely.collect()
     ones, zeros = Counter({r["term"]: r["n1"] for r in rows}), Counter({r["term"]: r["n0"] for r in rows})
     names = set(ones)
@@ -352,17 +355,18 @@ def learn(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean:
     return Scorer(weights, misspelt, base, min(-1.0, base + odds(none.get(1, 0), none.get(0, 0))) if n1 + n0 else -3.0)
 
 
-def score(docs: DataFrame, scorer: Scorer, keep: list[str]) -> DataFrame:
-    """The columns ``keep``, toxicity and toxic_terms."""
+def score(docs: DataFrame, scorer: Scorer, keep: list[str], result: tuple[str, str] = ("toxicity", "toxic_terms")) -> DataFrame:
+    """The columns ``keep``, and toxicity and the terms found under the names ``result``."""
+    body = "_" * (1 + max(map(len, keep), default=0))  # no column that is kept
     prepare(docs.sparkSession)
     state = (scorer.weights, scorer.misspelt, scorer.bias, scorer.silent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Scorer(*state)
         for batch in batches:
-            got = [own.score(t or "") for t in batch.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.list_(pa.string()))], [*keep, "toxicity", "toxic_terms"])
+            got = [own.score(t or "") for t in batch.column(len(keep)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(len(keep))), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.list_(pa.string()))], [*keep, *result])
 
-    rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.col("text").cast("string").alias("_text"))
+    rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.col("text").cast("string").alias(body))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in (docs.schema[c] for c in keep))
-    return rows.mapInArrow(frugal(run), f"{schema}, toxicity double, toxic_terms array<string>")
+    return rows.mapInArrow(frugal(run), ", ".join(x for x in (schema, f"`{result[0]}` double, `{result[1]}` array<string>") if x))
