@@ -61,6 +61,22 @@ def learning_rows(docs: DataFrame) -> Column:
     return F.col("lang").isNotNull() & F.col("text").isNotNull()
 
 
+def pieces(data: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Bounds of pieces of about a megabyte that end between words."""
+    a = 0
+    while a < len(data):
+        b = min(a + CHUNK_BYTES, len(data))
+        while b < len(data):
+            rest = folded(data[b : b + 4096])
+            gap = np.flatnonzero(rest == 32)
+            if len(gap):
+                b += int(gap[0])
+                break
+            b += len(rest)
+        yield a, b
+        a = b
+
+
 class Model:
     def __init__(self, languages: list[str], counts: np.ndarray) -> None:
         self.languages = languages
@@ -73,9 +89,8 @@ class Model:
     def words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Log likelihood of each word under each language, and the words before each text."""
         out, begins = [], []
-        for a in range(0, len(data), CHUNK_BYTES):
-            # A word that a piece cuts is two words; texts never share one.
-            b = folded(data[a : a + CHUNK_BYTES])
+        for a, end in pieces(data):
+            b = folded(data[a:end])
             solid = b != 32
             start = solid.copy()
             start[1:] &= ~solid[:-1]
@@ -152,8 +167,8 @@ def learn(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
             for k, lang in enumerate(batch.column("lang").to_pylist()):
                 own = sums.setdefault(lang, np.zeros(BUCKETS, np.int64))
                 row = data[offsets[k] : offsets[k + 1]]
-                for a in range(0, len(row), CHUNK_BYTES):
-                    b = folded(row[a : a + CHUNK_BYTES])
+                for a, end in pieces(row):
+                    b = folded(row[a:end])
                     own += np.bincount(trigrams(b)[b != 32], minlength=BUCKETS)
         for lang, own in sums.items():
             at = np.flatnonzero(own)
@@ -169,8 +184,9 @@ def learn(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
     return Model(languages, counts)
 
 
-def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` and lang_pred, lang_score, lang_shares (of the chosen set, as a map)."""
+def predict(docs: DataFrame, model: Model, keep: list[str], result: tuple[str, str, str] = ("lang_pred", "lang_score", "lang_shares")) -> DataFrame:
+    """The columns ``keep``, and the language, its share and all shares (of the chosen set, as a map) under the names ``result``."""
+    body = "_" * (1 + max(map(len, keep), default=0))  # no column that is kept
     prepare(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.log))  # languages x BUCKETS floats
 
@@ -179,7 +195,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
         own.languages, own.log = sent.value
         names = np.array([*own.languages, "und"])
         for batch in batches:
-            texts = batch.column("_text")
+            texts = batch.column(len(keep))
             data, offsets = text_buffer(texts)
             for i, j in row_chunks(offsets):
                 piece = data[offsets[i] : offsets[j]]
@@ -193,10 +209,10 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
                         best[k], score[k], shares[k] = -1, 0, 0
                 maps = [[(own.languages[x], float(r[x])) for x in np.flatnonzero(r)] for r in shares]
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c).slice(i, j - i) for c in keep), pa.array(names[best].tolist()), pa.array(score.astype(float)), pa.array(maps, pa.map_(pa.string(), pa.float64()))],
-                    [*keep, "lang_pred", "lang_score", "lang_shares"],
+                    [*(batch.column(c).slice(i, j - i) for c in range(len(keep))), pa.array(names[best].tolist()), pa.array(score.astype(float)), pa.array(maps, pa.map_(pa.string(), pa.float64()))],
+                    [*keep, *result],
                 )
 
-    rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.col("text").cast("string").alias("_text"))
+    rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.col("text").cast("string").alias(body))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in (docs.schema[c] for c in keep))
-    return rows.mapInArrow(frugal(run), f"{schema}, lang_pred string, lang_score double, lang_shares map<string, double>")
+    return rows.mapInArrow(frugal(run), ", ".join(x for x in (schema, f"`{result[0]}` string, `{result[1]}` double, `{result[2]}` map<string, double>") if x))
