@@ -81,6 +81,15 @@ def test_lines(spark):
     assert sorted((str(r["doc_id"]), r["kept_text"]) for r in linededup.dedup(docs_of(spark, again), result="found").select("doc_id", "found.kept_text").collect()) == [("1", "a common line here")] * 2 + [("None", "")]
 
 
+def test_lines_with_text_ids_and_without_broadcast(spark, monkeypatch):
+    rows = [("b", "a common line here\nown of b, and long"), ("a", "A COMMON line here"), (None, "a common line here\nshort"), ("c", None)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    want = {"b": "own of b, and long", "a": "A COMMON line here", None: "short", "c": ""}
+    for most in (2_000_000, 0):
+        monkeypatch.setattr(linededup, "MARKED_ROWS", most)
+        assert {r["doc_id"]: r["line_dedup"]["kept_text"] for r in linededup.dedup(docs).collect()} == want
+
+
 def shingled(t):
     w = re.findall(r"[0-9a-z\x80-\U0010ffff]+", (t or "").lower())
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()

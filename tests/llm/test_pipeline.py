@@ -1,9 +1,13 @@
 import random
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from weftline.llm import langid, packing, toxicity
 
 
+CLASHING = ("toxicity", "toxic_terms", "lang_pred", "_text", "_", "__", "_gone_id", "_th", "line_dedup", "node")
+
+
 def test_stages_in_order(spark, tmp_path):
     rng = random.Random(9)
     words = ["".join(rng.choices("abdeilmnorstu", k=6)) for _ in range(900)]
@@ -18,7 +22,7 @@ def test_stages_in_order(spark, tmp_path):
     copy[3] = "changed"
     rows += [(200, " ".join(copy), "xx", "s", 0), (201, None, "xx", "s", 0), (202, "12345", None, "s", 0), (203, "a line that is shared\n" + rows[2][1][:200], "xx", "s", 0), (204, "a line that is shared\n" + rows[4][1][::-1], "xx", "s", 0)]
     sf = str(tmp_path)
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit(c) for c in CLASHING}).write.parquet(f"{sf}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
