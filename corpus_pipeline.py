@@ -3,6 +3,12 @@
 Toxic documents go, then those without a letter, then lines
 that other documents hold already, then all but one of each class of near duplicates;
 what is left is packed.  Each stage works on every document that its predecessor kept.
+
+A null text counts as empty: it is not toxic, and goes as a text without a letter does.  A
+text that line deduplication has emptied stays an empty text; near-duplicate removal then
+keeps one of those.  Ties are broken by doc_id, a null one ranks last; of rows that repeat
+one stays after near-duplicate removal.  An empty table gives an empty result.  Further
+columns of any name go through all stages but the last.  Texts of any length are whole.
 """
 
 from __future__ import annotations
@@ -14,21 +20,28 @@ from weftline.llm import langid, linededup, neardup, packing, toxicity
 from weftline.llm.common import materialize, table
 
 
+def names(docs: DataFrame, *wanted: str) -> list[str]:
+    """The wanted names, made longer than any column's, so that none of them is one."""
+    return [w + "_" * max(map(len, docs.columns)) for w in wanted]
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents whose toxicity is THRESHOLD or more, learned from ``labels``."""
     scorer = toxicity.learn(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, scorer, [*docs.columns]).filter(F.col("toxicity") < toxicity.THRESHOLD).select(*docs.columns)
+    score, terms = names(docs, "toxicity", "toxic_terms")
+    return toxicity.score(docs, scorer, [*docs.columns], (score, terms)).filter(F.col(score) < toxicity.THRESHOLD).drop(score, terms)
 
 
 def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that have no letter; texts in several languages stay, whatever their shares."""
-    found = langid.predict(docs, langid.learn(docs), [*docs.columns])
-    return found.filter(F.col("lang_pred") != "und").select(*docs.columns)
+    added = names(docs, "lang_pred", "lang_score", "lang_shares")
+    found = langid.predict(docs, langid.learn(docs), [*docs.columns], tuple(added))
+    return found.filter(F.col(added[0]) != "und").drop(*added)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that a document with a smaller id holds; n_chars follows."""
-    found = "line_dedup" + "_" * max(map(len, docs.columns))  # no column of docs
+    (found,) = names(docs, "line_dedup")
     text = F.col(f"{found}.kept_text")
     columns = {"text": text, "n_chars": F.length(text).cast("long")}
     return linededup.dedup(docs, result=found).select(*(columns[c].alias(c) if c in columns else F.col(f"`{c}`") for c in docs.columns))
