@@ -120,3 +120,22 @@ def test_knapsack_against_trial():
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert packing.pack(docs).count() == 0
+
+
+def whole_documents(plan, length):
+    packer = packing.Packer(plan, int((length % packing.CAPACITY > 0).sum()), packing.CAPACITY, packing.UNIT)
+    pieces = packer.window(np.arange(len(length)), length, True)
+    own = np.bincount([p[0] for p in pieces], minlength=len(length))
+    least = -(-length // packing.CAPACITY)
+    return int((own == least).sum()), len({p[3] for p in pieces}), len(pieces)
+
+
+def test_column_generation_leaves_documents_whole():
+    rng = np.random.default_rng(5)
+    length = np.maximum(1, rng.lognormal(6, 1, 5000)).astype(np.int64)
+    size = np.bincount(-(-(length % packing.CAPACITY) // packing.UNIT), minlength=packing.CAPACITY // packing.UNIT + 1)[1:].astype(float)
+    plan = packing.patterns(size, packing.CAPACITY // packing.UNIT)
+    kept, sequences, pieces = whole_documents(plan, length)
+    bare, bare_sequences, bare_pieces = whole_documents([], length)
+    print("whole", kept, bare, "pieces", pieces, bare_pieces, "sequences", sequences, bare_sequences)
+    assert sequences == bare_sequences and kept > 0.95 * len(length) and (len(length) - kept) < 0.5 * (len(length) - bare)

@@ -45,15 +45,20 @@ def test_exact_groups(spark, weak):
         assert {bytes(r["digest"]).hex() for r in got} == {hashlib.sha256(w[3].encode()).hexdigest() for w in want}
 
 
-def test_exact_empty_and_state_goes_on(spark, tmp_path):
+@pytest.mark.parametrize("weak", [False, True])
+def test_exact_state_goes_on_across_calls(spark, tmp_path, weak):
     assert exactdedup.dedup(docs_of(spark, [])).count() == 0
-    state = f"file://{tmp_path}/state"
-    log = f"file://{tmp_path}/log"
-    for part in ([(1, "a")], [(2, "a"), (3, "b")]):
-        rows = exactdedup._located(docs_of(spark, part)).select("doc_id", "file", "row", F.length("text").alias("n"), exactdedup.sha(F.col("text")).alias("digest"))
-        rows.write.mode("append").parquet(log)
-        seen = exactdedup.observe(spark.read.parquet(log), log, state)
-    assert sorted(r["n"] for r in seen.collect()) == [1, 2]
+    digest = (lambda norm: F.unhex(F.lpad(F.hex(F.pmod(F.crc32(norm), F.lit(2))), 2, "0"))) if weak else exactdedup.sha
+    state, seen = f"file://{tmp_path}/state", []
+    for part in (EXACT[:5], EXACT[5:9], [], EXACT[9:]):
+        got = exactdedup.dedup(docs_of(spark, part), state, digest).collect()
+        seen += part
+        want = {(w[0], w[3]): (w[1], w[2]) for w in exact_by_hand(seen)}
+        norm = {i: re.sub(r"[\x20\x09-\x0D]+", "", t or "") for i, t in part if i is not None}
+        assert len(got) == len(part)
+        for r in got:
+            if r["doc_id"] is not None:
+                assert (r["keep_id"], r["group_size"]) == want[r["doc_id"], norm[r["doc_id"]]], r
 
 
 def lines_by_hand(rows):
