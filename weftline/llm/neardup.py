@@ -40,11 +40,18 @@ THRESHOLD = 0.8
 BANDS, ROWS = 32, 6
 DEEP_BANDS, DEEP_ROWS = 120, 16
 ROUNDS = 3
-#: Rows of (doc_id, hash) that are broadcast to find their texts; more are joined by a shuffle.
+#: Rows of (doc_id, hash), or of two nodes, that are broadcast to find their texts or shingles; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
+#: Keys of bands (8 bytes) that are broadcast to find their members.
+BROADCAST_KEYS = 1_000_000
 BLANK = b" \t\n\x0b\x0c\r"
 
 
+def _few(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``rows`` (a written table of numbers and ids), to be broadcast if there are no more than ``most``."""
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
 def text_hash(column: str = "text"):
     return F.xxhash64(F.coalesce(F.col(column).cast("string"), F.lit("")))
 
@@ -122,7 +129,10 @@ def verified(pairs: DataFrame, features: DataFrame, threshold: float) -> DataFra
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], ["a", "b"])
 
     named = lambda x: features.select(F.col("node").alias(x), F.col("h").alias(f"h_{x}"), F.col("times").alias(f"times_{x}"))
-    return pairs.join(named("a"), "a").join(named("b"), "b").select("a", "b", "h_a", "times_a", "h_b", "times_b").mapInArrow(frugal(run), "a binary, b binary")
+    # Each side meets the pairs by itself, so only the shingles of pairs travel, on a key that no hot node shares.
+    sent = _few(pairs)
+    both = named("a").join(sent, "a").join(named("b").join(sent, "b"), ["a", "b"])
+    return both.select("a", "b", "h_a", "times_a", "h_b", "times_b").mapInArrow(frugal(run), "a binary, b binary")
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -231,18 +241,18 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     nodes = materialize(rows.groupBy("node").agg(F.min(least).alias("rep"), F.first("keys").alias("keys")), "nodes")
     exploded = nodes.select("node", F.explode("keys").alias("key"))
     shared = materialize(exploded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "shared")
-    members = materialize(exploded.join(shared, "key"), "members")
+    members = materialize(exploded.join(_few(shared, BROADCAST_KEYS), "key"), "members")
 
     near = nodes.join(members.select("node").distinct(), "node")
     wanted = materialize(near.select("node", F.col("rep.doc_id").alias("id"), F.col("rep.th").alias("wanted_th")), "wanted")
-    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    side = _few(wanted)
     source = docs.select("doc_id", text_hash().alias("th"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     texts = source.join(side, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("wanted_th"))).select("node", "text")
-    # Rows may repeat doc_id and text: one row of a node is enough.
-    features = shingled(texts).groupBy("node").agg(F.first("h").alias("h"), F.first("times").alias("times"))
-    features = materialize(features, "shingles")
+    features = materialize(shingled(texts), "shingles")
+    if features.count() > wanted.count():  # rows that repeat doc_id and text: one row of a node is enough
+        features = materialize(features.dropDuplicates(["node"]), "shingles")
 
-    comps = materialize(wanted.select("node", F.col("node").alias("comp")), "components")
+    comps = _few(materialize(wanted.select("node", F.col("node").alias("comp")), "components"))
     done: DataFrame | None = None
 
     def compared(pairs: DataFrame, comps: DataFrame) -> DataFrame:
@@ -255,18 +265,18 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         links = verified(pairs, features, threshold)
         a = comps.select(F.col("node").alias("a"), F.col("comp").alias("ca"))
         b = comps.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
-        return components(comps, links.join(a, "a").join(b, "b").filter("ca != cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        return _few(components(comps, links.join(a, "a").join(b, "b").filter("ca != cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))))
 
     for turn in range(ROUNDS):
         comps = compared(_toward_largest(members, comps, turn), comps)
 
-    rest = _mixed(members, comps)[1].select("node").distinct()
-    deep = materialize(deep_signed(features.join(rest, "node", "left_semi")), "deep")
+    rest = materialize(_mixed(members, comps)[1].select("node").distinct(), "rest")
+    deep = materialize(deep_signed(features.join(_few(rest), "node", "left_semi")), "deep")
     sketch = deep.select("node", "sketch", "plain")
     lead_sketch = deep.select(F.col("node").alias("lead"), F.col("sketch").alias("lead_sketch"), F.col("plain").alias("lead_plain"))
     exploded = deep.select("node", F.explode("keys").alias("key"))
     again = materialize(exploded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "shared")
-    live = materialize(exploded.join(again, "key"), "members")
+    live = materialize(exploded.join(_few(again, BROADCAST_KEYS), "key"), "members")
     turn = 0
     while True:
         keys, here = _mixed(live, comps)
