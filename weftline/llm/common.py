@@ -23,10 +23,12 @@ CHUNK_BYTES = 1 << 20
 def work_dir(spark: SparkSession, tag: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where that setting is missing (tests, a laptop) a folder of this machine is used.
+    Only in local mode (tests, a laptop), where that setting may be missing, a folder of this machine is used.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = spark.conf.get("weftline.work.dir", None)
         if not base:
             base = f"file://{tempfile.mkdtemp(prefix='weftline-')}"
@@ -81,14 +83,17 @@ def expand(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray, ids: np.ndarr
 
 #: Rows of an Arrow batch, where the session leaves that at Spark's default: texts can be long.
 BATCH_ROWS = 2000
+#: Bytes of an Arrow batch, where the session leaves that at Spark's default: rows can be long.
+BATCH_BYTES = 8 << 20
 
 
 def prepare(spark: SparkSession) -> None:
     """What every operator with Python workers needs of the session."""
     ensure_importable(spark)
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name, "10000") == "10000":
-        spark.conf.set(name, str(BATCH_ROWS))
+    for name, default, ours in (("maxRecordsPerBatch", "10000", BATCH_ROWS), ("maxBytesPerBatch", "64m", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        if spark.conf.get(name, None) in (None, default, "67108864b", "67108864"):
+            spark.conf.set(name, str(ours))
 
 
 def release() -> None:
