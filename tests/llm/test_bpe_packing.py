@@ -139,3 +139,12 @@ def test_column_generation_leaves_documents_whole():
     bare, bare_sequences, bare_pieces = whole_documents([], length)
     print("whole", kept, bare, "pieces", pieces, bare_pieces, "sequences", sequences, bare_sequences)
     assert sequences == bare_sequences and kept > 0.95 * len(length) and (len(length) - kept) < 0.5 * (len(length) - bare)
+
+
+def test_characters_that_only_newer_tables_know():
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    c = bpe.codec(public_tokenizers.path("byte_bpe_50k.json"))
+    for cp in (0x378, 0x558, 0x88F, 0xE000, 0x10940, 0x11DE0, 0x313B0, 0x3D000, 0x3FFFF, 0x1F6DC):
+        for t in (f"{chr(cp)}'s", f"a{chr(cp)}'s {chr(cp)}1 {chr(cp)}!", f"{chr(cp)}{chr(cp)} x"):
+            data = np.frombuffer(t.encode(), np.uint8)
+            assert c.encode(data, np.array([0, len(data)]))[0].tolist() == whole.encode(t, add_special_tokens=False).ids, ascii(t)

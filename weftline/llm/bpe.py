@@ -25,6 +25,7 @@ import pyarrow as pa
 import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import pre_tokenizers
 
 from weftline.llm.common import CHUNK_BYTES, expand, frugal, prepare, row_chunks, text_buffer
 
@@ -35,6 +36,9 @@ SPACES = r"\t-\r \x85\xa0  -     　"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACES}\p{{L}}\p{{N}}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
 
 _SLOW = regex.compile(PATTERN)
+_WORDLIKE = regex.compile(r"[\p{L}\p{N}]")
+#: The library's own cutting, asked only for characters that this Python's tables do not know as letters or numbers.
+_LIBRARY = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
 #: Bytes whose class is not settled by the byte alone: then the pattern itself cuts the text.
 #: Two-byte letters have a lead byte C3..C9 (C3 97 and C3 B7 are signs).
 _UNSETTLED = np.zeros(256, bool)
@@ -507,8 +511,19 @@ def word_starts(data: np.ndarray, offsets: np.ndarray, special: list[bytes]) ->
     return np.concatenate(parts).astype(np.int64)
 
 
+@lru_cache(maxsize=1 << 16)
+def _seen_as(c: str) -> str:
+    """A character as the library's tables class it: one that only newer tables call a letter or number
+    is stood for by a sign of as many bytes."""
+    if not _WORDLIKE.match(c) or len(_LIBRARY.pre_tokenize_str(c + "!")) > 1:
+        return c
+    return {2: "\x80", 3: "\ue000"}.get(len(c.encode("utf-8", "surrogatepass")), "\U000f0000")
+
+
 def _pattern_starts(raw: bytes, special: list[bytes]) -> np.ndarray:
     text = raw.decode("utf-8", "surrogatepass")
+    for c in {c for c in set(text) if not c.isalnum() and _seen_as(c) != c}:
+        text = text.replace(c, _seen_as(c))
     cut = re.split("(" + "|".join(re.escape(s.decode()) for s in special) + ")", text) if special else [text]
     lens = []
     for k, piece in enumerate(cut):
