@@ -40,3 +40,9 @@ def test_same_rows(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL) - {"greedy_cluster"}))
 def test_runs(spark, name):
     assert catalogue.QUERIES[name](spark, SF).count() > 0
+
+
+def test_emerging_roles_are_planned_in_steps(spark):
+    """What several steps read is computed once: the plan stays small for the driver."""
+    plan = catalogue.QUERIES["candidate_score"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") < 20, plan
