@@ -1,6 +1,7 @@
 import datetime
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -25,6 +26,73 @@ def test_match_gaps(spark, seed):
     assert match.components(resume.limit(0), edges, skills).count() == 0
 
 
+@pytest.fixture(scope="module")
+def sides(spark):
+    """Résumés and postings whose skills lie far apart in two ranges, one skill that all have, a skill and weights that count for nothing."""
+    rng = random.Random(3)
+    skills = spark.createDataFrame([(s, ("AI", "T1", "", None, "B")[s % 5]) for s in range(60)], "skill_id long, l1 string")
+    draw = lambda i: {0} | {rng.randrange(1, 30) + 30 * (i % 2) for _ in range(rng.randrange(1, 9))}
+    rows = lambda n: [(i, s, rng.choice([0.0, 0.85, 0.9, 0.95])) for i in range(n) for s in draw(i)] + [(n, None, 0.9), (n + 1, 7, None)]
+    resume = spark.createDataFrame(rows(60), "resume_id long, skill_id long, confidence double")
+    job = spark.createDataFrame(rows(90), "job_id long, skill_id long, confidence double")
+    return resume, job, skills, spark.createDataFrame([(j, "xyz"[j % 3]) for j in range(80)], "job_id long, title string")
+
+
+def test_pairs_meet_without_a_shuffle_of_pairs(sides, monkeypatch):
+    resume, job, skills, titles = sides
+    for name, value in (("BLOCK_ENTRIES", 40), ("PIECE", 50), ("KEPT_ROWS", 30), ("DENSE_CELLS", 0)):
+        monkeypatch.setattr(match, name, value)
+    domain = {r["skill_id"]: r["l1"] for r in skills.collect()}
+    title = {r["job_id"]: r["title"] for r in titles.collect()}
+
+    def vectors_of(rows):
+        out = {}
+        for owner, skill, w in rows.collect():
+            if w and w > 0:
+                out.setdefault(owner, {})[skill] = w
+        return out
+
+    def cosine(a, b):
+        dot = sum(w * b.get(k, 0.0) for k, w in a.items() if k is not None)
+        return dot / (sum(w * w for w in a.values()) * sum(w * w for w in b.values())) ** 0.5 if dot else 0.0
+
+    def domains(v):
+        out = {}
+        for s, w in v.items():
+            if domain.get(s):
+                out[domain[s]] = out.get(domain[s], 0.0) + w
+        return out
+
+    r, j = vectors_of(resume), vectors_of(job)
+    want = {}
+    for a, x in r.items():
+        for b, y in j.items():
+            n = len((set(x) & set(y)) - {None})
+            if n and b in title:
+                want[a, b] = (n, len(x), len(y), cosine(x, y), cosine(domains(x), domains(y)), n / (len(x) + len(y) - n))
+    parts = match.components(resume, job, skills, titles=titles)
+    plan = parts._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan.split("\n")[1] + plan.split("\n")[2] and "n_shared" not in plan[plan.index("Exchange") :]  # pairs are made after the last shuffle
+    got = {(p["resume_id"], p["job_id"]): tuple(p)[2:8] for p in parts.collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+    plain = lambda df: sorted(tuple(x) for x in df.collect())
+    scored = match.scored(parts)
+    cols = ["resume_id", "job_id", "score", "capability", "l1_score", "jaccard"]
+    assert plain(match.scores(*sides[:3], titles=titles)) == plain(scored.select(cols))
+    top = match.top_n(scored, 3)
+    assert plain(match.best(*sides[:3], titles, 3).select(top.columns)) == plain(top)
+    assert plain(match.best_gaps(*sides[:3], titles, 3)) == plain(match.gaps(top, resume, job))
+    assert plain(match.severities(*sides[:3], titles)) == plain(scored.groupBy("severity").count())
+    led = {b for b, y in j.items() if (d := domains(y)) and min((-round(w, 9), k) for k, w in d.items())[1] == "T1"}
+    assert {(x["resume_id"], x["job_id"]) for x in match.scores(*sides[:3], "T1", titles).collect()} == {k for k in want if k[1] in led}
+
+
+def test_rounding_is_that_of_spark(spark):
+    x = [k / m for m in range(1, 161) for k in range(m + 1)]
+    rows = spark.createDataFrame([(v,) for v in x], "x double").select("x", F.round("x", 4).alias("y")).collect()
+    assert match.half_up(np.array([r["x"] for r in rows]), 4).tolist() == [r["y"] for r in rows]
+
+
 def test_unit_vector(spark):
     rows = spark.createDataFrame([(1, "a", 3.0), (1, "b", 4.0), (1, "c", 0.0)], "id int, k string, w double")
     assert {r["k"]: r["w"] for r in vectors.unit(rows, "id").collect()} == pytest.approx({"a": 0.6, "b": 0.8})
