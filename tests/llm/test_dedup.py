@@ -178,6 +178,29 @@ def test_many_variants_of_one_text(spark):
 
 
 @pytest.mark.skipif(not os.path.exists(SF), reason="the driver's tables are not here")
+def test_components_in_one_task_and_by_labels(spark, monkeypatch):
+    rng = random.Random(8)
+    name = [hashlib.blake2b(str(i).encode(), digest_size=16).digest() for i in range(400)]
+    name[:3] = [bytes(16), b"\xff" * 16, b"\x80" + bytes(15)]  # digests are ordered by unsigned bytes
+    pairs = [(i, i + 1) for i in range(60)] + [(0, i) for i in range(100, 160)] + [(rng.randrange(160, 400), rng.randrange(160, 400)) for _ in range(120)]
+    pairs = [(name[a], name[b]) for a, b in pairs if a != b]
+    top = {x: x for x in name}
+    for _ in name:
+        for a, b in pairs:
+            top[a] = top[b] = min(top[a], top[b])
+    nodes = spark.createDataFrame([(x, x) for x in name], "node binary, comp binary")
+    edges = spark.createDataFrame(pairs, "a binary, b binary")
+    ran = []
+    written = neardup.materialize
+    monkeypatch.setattr(neardup, "materialize", lambda df, tag: ran.append(tag) or written(df, tag))
+    for most, steps in ((len(pairs), 1), (0, 3)):
+        monkeypatch.setattr(neardup, "ONE_TASK_LINKS", most)
+        ran.clear()
+        assert {bytes(r["node"]): bytes(r["comp"]) for r in neardup.components(nodes, edges).collect()} == top
+        assert ran.count("labels") == 1 if steps == 1 else ran.count("labels") >= steps  # few links take one query, not one a step
+    assert neardup.components(nodes, edges.limit(0)).filter("node != comp").isEmpty()
+
+
 def test_recall_on_whole_table(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     holders, sets = {}, [shingled(t) for _, t in rows]

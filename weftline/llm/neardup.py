@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import probminhash as pm
-from weftline.llm.common import CHUNK_BYTES, frugal, materialize, prepare, row_chunks, text_buffer
+from weftline.llm.common import CHUNK_BYTES, freed, frugal, materialize, prepare, row_chunks, text_buffer
 
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 6
@@ -44,6 +44,8 @@ ROUNDS = 3
 BROADCAST_ROWS = 500_000
 #: Keys of bands (8 bytes) that are broadcast to find their members.
 BROADCAST_KEYS = 1_000_000
+#: Links (32 bytes) whose components one task finds; those of more are found by passing labels.
+ONE_TASK_LINKS = 250_000
 BLANK = b" \t\n\x0b\x0c\r"
 
 
@@ -135,12 +137,36 @@ def verified(pairs: DataFrame, features: DataFrame, threshold: float) -> DataFra
     return both.select("a", "b", "h_a", "times_a", "h_b", "times_b").mapInArrow(frugal(run), "a binary, b binary")
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, comp) with the smallest node of each connected component; nodes carry comp already,
-    and edges lie between comps (a, b).  Labels are written after each step, so lost work is read again."""
-    both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    if both.isEmpty():
-        return nodes
+def _united(edges: DataFrame) -> DataFrame:
+    """(comp, to): the smallest of each component, for all comps that edges (a, b) name; one task reads all edges."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sides: tuple[list[bytes], list[bytes]] = ([], [])
+        for batch in batches:
+            for side, name in zip(sides, ("a", "b"), strict=True):
+                side.append(b"".join(batch.column(name).to_pylist()))
+        # Digests of 16 bytes: two numbers, in the order of Spark's binary.
+        both = np.frombuffer(b"".join(sides[0] + sides[1]), ">u8").astype(np.uint64).view([("high", np.uint64), ("low", np.uint64)])
+        names, at = np.unique(both, return_inverse=True)
+        a, b = at[: len(at) // 2], at[len(at) // 2 :]
+        top = np.arange(len(names))
+        while (top[a] != top[b]).any():
+            x, y = top[a], top[b]
+            np.minimum.at(top, np.maximum(x, y), np.minimum(x, y))
+            while (top[top] != top).any():
+                top = top[top]
+        raw = np.ascontiguousarray(names).view(np.uint64).astype(">u8").tobytes()
+        own = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(names), [None, pa.py_buffer(raw)])
+        for i in range(0, len(names), 10_000):
+            part = top[i : i + 10_000]
+            yield pa.RecordBatch.from_arrays([own.slice(i, len(part)).cast(pa.binary()), own.take(pa.array(part)).cast(pa.binary())], ["comp", "to"])
+
+    return edges.select("a", "b").coalesce(1).mapInArrow(frugal(run), "comp binary, to binary")
+
+
+def _passed(edges: DataFrame) -> DataFrame:
+    """The rows of ``_united`` by passing labels, written after each step, so lost work is read again."""
+    both = materialize(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     label = materialize(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("comp"), F.least("a", "low").alias("to")), "labels")
     while True:
         # Least label among neighbours, then the label of that label.
@@ -150,7 +176,17 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         new = materialize(new.join(hop, "to", "left").select("comp", "old", F.coalesce("next", "to").alias("to")), "labels")
         label = new.select("comp", "to")
         if new.filter("old != to").isEmpty():
-            break
+            return label
+
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, comp) with the smallest node of each connected component; nodes carry comp already,
+    and edges lie between comps (a, b)."""
+    edges = materialize(edges.select("a", "b").distinct(), "edges")
+    n = edges.count()
+    if not n:
+        return nodes
+    label = materialize(_united(edges), "labels") if n <= ONE_TASK_LINKS else _passed(edges)
     return materialize(nodes.join(label, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), "components")
 
 
@@ -269,6 +305,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     for turn in range(ROUNDS):
         comps = compared(_toward_largest(members, comps, turn), comps)
+        freed(docs.sparkSession)
 
     rest = materialize(_mixed(members, comps)[1].select("node").distinct(), "rest")
     deep = materialize(deep_signed(features.join(_few(rest), "node", "left_semi")), "deep")
@@ -287,6 +324,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         met = here.join(sketch, "node").join(leading.join(lead_sketch, "lead"), "key").filter((F.col("comp") != F.col("lead_comp")) & _may_link(threshold))
         comps = compared(_ordered(met.select("node", F.col("lead").alias("other"))), comps)
         live = here.select("key", "node").join(lead, ["key", "node"], "left_anti")
+        freed(docs.sparkSession)
         turn += 1
 
     placed = rows.select("doc_id", "th", "node").join(comps, "node", "left").select("doc_id", "th", F.coalesce("comp", "node").alias("comp"))
