@@ -185,6 +185,72 @@ def test_clusters_from_vectors_follow_the_pairwise_rule(spark):
     assert got == {j: first[k] for j, k in want.items()}
 
 
+def _plainly_clustered(units, capacity, threshold=0.35, depth=3):
+    """The clusters that ``assign_vectors`` must give, each mean read from all members."""
+    clusters, where = [], {}
+    dots = {}
+
+    def sim(a, b):
+        if (a, b) not in dots:
+            dots[a, b] = sum(w * units[b].get(f, 0.0) for f, w in units[a].items())
+        return dots[a, b]
+
+    def mean(job, members):
+        return round(sum(sim(job, m) for m in members) / len(members), 9)
+
+    def place(job, turn):
+        scores = [mean(job, c) for c in clusters]
+        best = max(range(len(scores)), key=lambda k: (scores[k], -k), default=-1)
+        if best >= 0 and scores[best] >= threshold:
+            own = clusters[best]
+            if len(own) < capacity:
+                own.append(job)
+                where[job] = best
+                return
+            fits = [mean(m, [x for x in own if x != m]) for m in own]
+            i = fits.index(min(fits))
+            if turn < depth and scores[best] > fits[i]:
+                out = own.pop(i)
+                own.append(job)
+                where[job] = best
+                place(out, turn + 1)
+                return
+        where[job] = len(clusters)
+        clusters.append([job])
+
+    for job in range(len(units)):
+        place(job, 0)
+    return [where[j] for j in range(len(units))]
+
+
+def test_many_equal_postings_are_clustered_by_the_same_rule(spark):
+    rng = random.Random(3)
+    weight = [rng.uniform(1, 5) for _ in range(60)]
+    kinds = [sorted(rng.sample(range(60), 1)) for _ in range(12)] + [sorted(rng.sample(range(60), rng.randint(2, 4))) for _ in range(90)]
+    sets = [rng.choice(kinds[:12] if rng.random() < 0.4 else kinds) for _ in range(420)]
+    units = [{f: weight[f] / sum(weight[x] ** 2 for x in s) ** 0.5 for f in s} for s in sets]
+    want = _plainly_clustered(units, 4)
+    arrays = [(np.array(list(u), np.int32), np.array(list(u.values()))) for u in units]
+    for apart in (False, True):
+        assert cluster.assign_vectors(arrays, 0.35, 4, 3, apart) == want
+    # The same postings from a table, in groups that share features; a feature of another group beside them.
+    rows = [(j, f"f{f:02d}", weight[f]) for j, s in enumerate(sets) for f in s] + [(1000, "z", 1.0), (1001, "z", 2.0), (1002, "none", 0.0)]
+    got = {r["job_id"]: r["cluster_id"] for r in cluster.greedy_vectors(spark.createDataFrame(rows, "job_id long, kw string, w double"), capacity=4).collect()}
+    first = {}
+    for j, k in enumerate(want):
+        first.setdefault(k, j)
+    assert got == {j: first[k] for j, k in enumerate(want)} | {1000: 1000, 1001: 1000, 1002: 1002}
+
+
+def test_clusters_that_nothing_can_join_are_not_compared(monkeypatch):
+    kept = []
+    add = cluster._Sums.add
+    monkeypatch.setattr(cluster._Sums, "add", lambda self, k, *a: (kept.append(k), add(self, k, *a))[1])
+    equal = [(np.array([0, 1]), np.array([0.6, 0.8]))] * 300
+    assert cluster.assign_vectors(equal, 0.35, 6, 3) == [0] * 6 + list(range(1, 295))
+    assert set(kept) == {0}
+
+
 def test_registered_clusters_use_terms_and_categories(spark, tmp_path):
     lines = [(1, 1), (1, 2), (2, 3), (2, 4), (3, 5)]
     spark.createDataFrame([(o, p, 0.0, "A", "F") for o, p in lines], "l_orderkey long, l_partkey long, l_discount double, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
