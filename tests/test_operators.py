@@ -251,6 +251,23 @@ def test_clusters_that_nothing_can_join_are_not_compared(monkeypatch):
     assert set(kept) == {0}
 
 
+def test_features_that_became_rare_take_little_room():
+    sums = cluster._Sums()
+    for k in range(2100):
+        own = ([0, 1 + k], [0.6, 0.8]) if k < 40 else ([1 + k], [1.0])
+        assert sums.open() == k
+        sums.add(k, *own, 1)
+        if k == 39:
+            assert 0 not in sums.slot and len(sums.near[0]) == 64
+    assert len(sums.near[0]) < 64
+    assert sums.best([0], [1.0], 0.35) == (0, 0.6)
+    sums.add(7, [0], [1.0], 1)
+    sums.add(2000, [0], [1.0], 1)
+    assert sums.best([0], [1.0], 0.35) == (7, 0.8)
+    sums.add(7, [0], [1.0], -1)
+    assert sums.best([0, 2001], [0.6, 0.8], 0.35) == (2000, 0.7)
+
+
 def test_registered_clusters_use_terms_and_categories(spark, tmp_path):
     lines = [(1, 1), (1, 2), (2, 3), (2, 4), (3, 5)]
     spark.createDataFrame([(o, p, 0.0, "A", "F") for o, p in lines], "l_orderkey long, l_partkey long, l_discount double, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
