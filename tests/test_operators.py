@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from weftline.functions import scalar
 from weftline.operators import cluster, emerging, evaluate, evolve, extract, graph, ingest, match, review, vectors
 
 
@@ -87,10 +88,47 @@ def test_pairs_meet_without_a_shuffle_of_pairs(sides, monkeypatch):
     assert {(x["resume_id"], x["job_id"]) for x in match.scores(*sides[:3], "T1", titles).collect()} == {k for k in want if k[1] in led}
 
 
+@pytest.fixture(scope="module")
+def far(spark):
+    """Each résumé has skills from the whole range, so that every block meets every posting."""
+    skills = spark.createDataFrame([(s, "ABC"[s % 3]) for s in range(40)], "skill_id long, l1 string")
+    resume = spark.createDataFrame([(i, s, 0.9) for i in range(30) for s in (i % 5, 20 + i % 7, 39 - i % 3)], "resume_id long, skill_id long, confidence double")
+    job = spark.createDataFrame([(i, s, 0.8 + i / 1000) for i in range(50) for s in (i % 6, 20 + i % 9, 39 - i % 4)], "job_id long, skill_id long, confidence double")
+    return resume, job, skills
+
+
+def test_no_posting_is_shuffled_to_the_blocks(far, monkeypatch):
+    monkeypatch.setattr(match, "BLOCK_ENTRIES", 20)
+    counts = match.severities(*far)
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    product = plan[plan.index("CartesianProduct") :]
+    assert product.count("Exchange") == 1 and "job_blob" not in product[product.index("Exchange") :].split("\n")[0]  # only the blocks' own side is dealt
+    want = far[0].join(far[1].withColumnRenamed("confidence", "c"), "skill_id").select("resume_id", "job_id").distinct().count()
+    assert sum(r["n"] for r in counts.collect()) == want
+
+
+def test_best_of_a_block_that_several_tasks_met(far, monkeypatch):
+    monkeypatch.setattr(match, "BLOCK_ENTRIES", 30)
+    schema = match._types(*far[:2]) + match.PARTS + ", title string, place bigint"
+    cells, *rest = match._cells(*far, None)
+    plain = lambda df: sorted(tuple(x) for x in df.collect())
+    want = plain(match.top_n(match.scored(match.components(*far)), 3).drop("title"))
+    assert plain(match.scored(match._met((cells.repartition(5), *rest), "best", schema, n=3), "place").drop("title").select(*match.top_n(match.scored(match.components(*far)), 3).drop("title").columns)) == want
+
+
+def test_texts_as_ids(spark, far):
+    texts = [df.withColumns({c: df[c].cast("string") for c in df.columns if c.endswith("_id")}) for df in far]
+    rows = lambda df: {(str(x["resume_id"]), str(x["job_id"]), x["score"], x["jaccard"]) for x in df.collect()}
+    assert rows(match.scores(*texts)) == rows(match.scores(*far))
+
+
 def test_rounding_is_that_of_spark(spark):
     x = [k / m for m in range(1, 161) for k in range(m + 1)]
     rows = spark.createDataFrame([(v,) for v in x], "x double").select("x", F.round("x", 4).alias("y")).collect()
     assert match.half_up(np.array([r["x"] for r in rows]), 4).tolist() == [r["y"] for r in rows]
+    x = [k / 1000 for k in range(-2000, 2001)] + [0.95 - k / 100 for k in range(120)] + [1e300, -7e12, float("inf"), float("nan"), None]
+    rows = spark.createDataFrame([(v,) for v in x], "x double").select(F.round("x", 2).alias("a"), scalar.rounded(F.col("x"), 2).alias("b")).collect()
+    assert [repr(r["a"]) for r in rows] == [repr(r["b"]) for r in rows]
 
 
 def test_unit_vector(spark):
